@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +66,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Tasks of a stage that follows a shuffle, as the session sets it."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where their path doesn't hold it: a zip of its source goes to every executor."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_mnemolake_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="mnemolake-"), "mnemolake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "mnemolake")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._mnemolake_shipped = True
