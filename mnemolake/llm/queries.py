@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.llm.encode import count_tokens, encode_corpus
+from mnemolake.llm.knn import nearest, pairs_of
 from mnemolake.llm.pack import pack
 from mnemolake.llm.runs import collapse_runs, tool_calls
 from mnemolake.llm.sql import ORACLES  # noqa: F401
@@ -13,6 +14,9 @@ from mnemolake.llm.split import split_oversized
 from mnemolake.session import materialize
 from mnemolake.sources.tables import current_docs, current_events, table
 
+#: Numbers of a vector of the index.
+VECTOR_DIM = 32
+
 
 def _limit(spark: SparkSession, sf_dir: str, limit_id: str) -> tuple[int, int]:
     r = table(spark, sf_dir, "size_limits").where(F.col("limit_id") == limit_id).first()
@@ -33,6 +37,19 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).where("unit_no = 0").drop("unit_no")
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = current_docs(table(spark, sf_dir, "index_docs").select("id", "vector", "indexed_at"))
+    return nearest(docs, VECTOR_DIM, k=5)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(_neighbours(spark, sf_dir))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir)
+
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "event_log").where("kind_tag = 'ToolCall' and seq is not null").select("agent_id", "stream_id", "seq", "ts_ms", "kind_tag", "payload", "arrived_at")
     return tool_calls(current_events(log))
@@ -64,4 +81,4 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("limit_id", F.col("item_id").alias("doc_id"), "piece_no", "start", "tokens", "container_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_runs, p4_near_runs, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_runs, p4_near_runs, p8_ids, p9_containers)}
