@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm.encode import count_tokens, encode_corpus
 from mnemolake.llm.knn import nearest, pairs_of
+from mnemolake.llm.langid import document_language, fit_sample, identify, segments
 from mnemolake.llm.pack import pack
 from mnemolake.llm.runs import collapse_runs, tool_calls
 from mnemolake.llm.sql import ORACLES  # noqa: F401
 from mnemolake.llm.split import split_oversized
+from mnemolake.llm.subjects import composition, subjects
 from mnemolake.session import materialize
 from mnemolake.sources.tables import current_docs, current_events, table
 
@@ -67,6 +69,25 @@ def p4_near_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(_calls(spark, sf_dir), least=0.8, gap_ms=3_600_000)
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = current_docs(table(spark, sf_dir, "index_docs").select("id", "name", "body", "filters", "indexed_at"))
+    segs = materialize(segments(docs), "segments")
+    return identify(segs, fit_sample(segs))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir)
+    return found.where("lang is not null and not array_contains(named, lang)").select("id", "seg_no", "lang")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("id", "seg_no", "lang", "confidence")
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_language(_languages(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -81,4 +102,16 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("limit_id", F.col("item_id").alias("doc_id"), "piece_no", "start", "tokens", "container_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_runs, p4_near_runs, p8_ids, p9_containers)}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composition(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_runs, p4_near_runs, p5_found, p5_segments, p5_documents, p8_ids, p9_containers, p10_found, p10_composition)}
