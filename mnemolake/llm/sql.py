@@ -24,7 +24,7 @@ ORACLES = {
         paras as (select id, para, sum(length(line)) + count(*) - 1 - sum(case when ends and no < n and line like '%' || chr(13) then 1 else 0 end) size from l4 where not blank group by id, para)
         select id, 0::integer para_no from big union all select id, para::integer from paras where size > 1000""",
     "p3_found": f"""with {_DOCS},
-        v as (select id, vector::double[] v from docs where len(vector) = 32 and not list_contains(list_transform(vector, x -> coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, x -> x <> 0), true)),
+        v as (select id, vector::double[] v from docs where len(vector) = 32 and not list_contains(list_transform(vector, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, lambda x: x <> 0), true)),
         s as (select a.id, b.id near_id, round(list_cosine_similarity(a.v, b.v), 6) sim from v a join v b on a.id <> b.id),
         r as (select id, near_id from (select *, row_number() over (partition by id order by sim desc, near_id) rn from s) where rn <= 5)
         select distinct least(id, near_id) id_a, greatest(id, near_id) id_b from r""",
