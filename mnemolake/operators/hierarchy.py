@@ -28,7 +28,7 @@ from mnemolake.session import materialize
 
 #: Rows of a block, the most that one task links at once (some 100 bytes a row).
 BLOCK_ROWS = 250_000
-_LINKED = "block int, node bigint, set_root bigint, offset bigint, low bigint, ext bigint, ring bigint"
+_LINKED = "block int, node bigint, set_root bigint, offset bigint, low bigint, ext bigint, ext_weight bigint, ext_low bigint, ring bigint"
 _RESOLVED = "node bigint, root bigint, depth bigint, ring bigint"
 
 
@@ -89,6 +89,8 @@ def _link_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "offset": off,
             "low": np.minimum(node, way),
             "ext": _nullable(parent[up], has[up] & ~ringed),
+            "ext_weight": pdf["weight"].to_numpy(np.int64)[up],
+            "ext_low": low[up],
             "ring": _nullable(least, ringed),
         }
     )
@@ -156,12 +158,12 @@ def _resolve(links: DataFrame, rows: int, block_rows: int) -> DataFrame:
     if not bounds:  # there is no other block: a parent outside is no node
         return linked.select("node", F.coalesce("ring", "set_root").alias("root"), own.alias("depth"), "ring")
     linked = materialize(linked, "forest")
-    roots = linked.where(F.col("ext").isNotNull() & (F.col("node") == F.col("set_root"))).select("node", "ext")
+    roots = linked.where(F.col("ext").isNotNull() & (F.col("node") == F.col("set_root"))).select("node", "ext", "ext_weight", "ext_low")
     there = linked.select(F.col("node").alias("_n"), "set_root", "offset", "low", F.col("ring").alias("into"))
     # the set that holds each outside parent; a parent that is no node, or that ends in a ring of its block, ends the chain
     cross = roots.join(there, roots["ext"] == there["_n"], "left")
     free = F.col("into").isNull()
-    cross = materialize(cross.select("node", F.when(free, F.col("set_root")).alias("parent"), (F.coalesce("offset", F.lit(0)) + 1).alias("weight"), "low", "into"), "cross")
+    cross = materialize(cross.select("node", F.when(free, F.col("set_root")).alias("parent"), (F.coalesce("offset", F.lit(0)) + F.col("ext_weight")).alias("weight"), F.least("low", "ext_low").alias("low"), "into"), "cross")
     n = cross.count()
     if n > rows // 2 and n > block_rows:
         up = _doubled(_closed(cross), n)

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from mnemolake.sources.tables import EVENT_KINDS
 
-SCHEMA = T.StructType.fromDDL("seq bigint, agent_id string, stream_id string, kind_tag string, ts_ms bigint, causation bigint, correlation string, payload string")
+_LONG, _TEXT = T.LongType(), T.StringType()
+SCHEMA = T.StructType([T.StructField(n, k) for n, k in (("seq", _LONG), ("agent_id", _TEXT), ("stream_id", _TEXT), ("kind_tag", _TEXT), ("ts_ms", _LONG), ("causation", _LONG), ("correlation", _TEXT), ("payload", _TEXT))])
 
 #: Payload fields that a kind needs, and their types.
 NEEDS = {
