@@ -21,9 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.session import tasks
+
 #: Containers of a block, as long as its items stay below the second bound.
 BLOCK_WINDOWS = 256
 BLOCK_ITEMS = 20_000
+#: Items that a task holds, about.
+TASK_ITEMS = 500_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +147,9 @@ def pack(items: DataFrame, capacity: int, n_tasks: int | None = None) -> DataFra
     blocks = max(1, -(-load // (BLOCK_WINDOWS * capacity)), -(-count // BLOCK_ITEMS))
     # the row's place breaks ties of repeated ids, so that one id can't fill a block alone
     rest = rest.withColumn("block", F.pmod(F.xxhash64("item_id", "piece_no", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    rest = rest.repartitionById(min(blocks, n_tasks or blocks), "block") if blocks > 1 else rest.repartition(1)
+    # several blocks a task: as many tasks as the session has, more only where a task would hold too many rows
+    parts = min(blocks, max(n_tasks or tasks(items.sparkSession), -(-count // TASK_ITEMS)))
+    rest = rest.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")) if parts > 1 else rest.repartition(1)
     packed = rest.mapInPandas(_pack(capacity), "item_id bigint, piece_no int, start bigint, tokens bigint, block int, window_no bigint")
     packed = packed.select("item_id", "piece_no", "start", "tokens", F.format_string("b:%d:%d", "block", "window_no").alias("container_id"))
     return packed.unionByName(full.select("item_id", "piece_no", "start", "tokens", F.format_string("f:%d:%d", "item_id", "piece_no").alias("container_id")))
