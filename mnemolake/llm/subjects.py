@@ -5,7 +5,7 @@
    begins a party's name in some caption, with the capitalised words after it; where a text writes common nouns small,
    every capitalised word inside a sentence is one.
 2. Words are weighted by inverse document frequency; words that a good share of the documents of one language hold weigh nothing.
-3. The truncated decomposition of the matrix of documents and words comes from two passes of a randomised range finder over all
+3. The truncated decomposition of the matrix of documents and words comes from three passes of a randomised range finder over all
    documents: each task multiplies its rows into a fixed matrix of hashed words and ranks, and those matrices are added up.
 4. Labels, in any spelling, give seed centroids for each subject and language. Over all documents, those that lie clearly
    nearest to one centroid move it, a few times.
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from mnemolake.session import materialize
 
 #: Buckets of hashed words, rank of the decomposition, languages that are told apart (the largest; others count as one).
-TERMS, RANK, LANGS = 1 << 16, 64, 12
+TERMS, RANK, LANGS = 1 << 16, 128, 12
+#: Share of the documents that a language needs to be told apart.
+LANG_SHARE = 0.01
 #: A word in more than this share of a language's documents, or in one document only, weighs nothing.
 COMMON = 0.25
 #: A text with a smaller share of capitals inside its sentences writes common nouns small.
 NOUN_CAPITALS = 0.18
 #: Lead of a sentence's best subject over the second, and the sum and share of leads that a document's subject needs.
-MARGIN, NEED, SHARE = 0.3, 0.7, 0.15
+MARGIN, NEED, SHARE = 0.08, 0.3, 0.15
 REFINE_ROUNDS, REFINE_MARGIN = 5, 0.1
 #: Longest line that counts as a page header, and head of a text where its caption is.
 HEADER_CHARS, CAPTION_CHARS = 100, 900
@@ -46,7 +48,7 @@ HEADER_CHARS, CAPTION_CHARS = 100, 900
 # The line between the parties of a caption, by language.
 VERSUS = ("v.", "vs.", "gegen", "contre", "contra", "contro")
 
-_HYPHEN = re.compile(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])")
+_HYPHEN = re.compile(r"-\n[ \t]*(?=[^\W\d_])")
 _CITATION = re.compile(r"\([^()]*\d{4}[^()]*\)")
 _TOKEN = re.compile(r"[^\W\d_]{3,}|[.!?](?=\s|$)")
 _CHUNK = 4096
@@ -107,6 +109,13 @@ def _caption_names(t: str) -> list[str]:
     return out
 
 
+def _nested(lists: list[list[int]]) -> pa.ListArray:
+    flat: list[int] = []
+    for x in lists:
+        flat += x
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), pa.array(np.array(flat, np.int32)))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = _Ids()
 
@@ -122,8 +131,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(words(_caption_names(t)))
                 courts.append(words(_TOKEN.findall(source or "")))
                 t = _HYPHEN.sub("", _without_headers(_without_headers(t, docket), source))
-                tokens.append([ids[w] for w in _TOKEN.findall(_without_citations(t))])
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (tokens, names, courts)]
+                tokens.append(list(map(ids.__getitem__, _TOKEN.findall(_without_citations(t)))))
+            lists = [_nested(x) for x in (tokens, names, courts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *lists], ["doc_id", "lang", "tokens", "names", "courts"])
 
 
@@ -177,14 +186,26 @@ def _strip(name: np.ndarray, court: np.ndarray):
     return run
 
 
-def _rows(b: pa.RecordBatch, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, row, value) of a batch's weighted rows, each of length one; terms of no weight are left out."""
+class Weights:
+    """Weights of the buckets, and the slots of those with a weight, so that matrices hold no rows for the others."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight = weight.astype(np.float32)
+        self.slot = np.where(weight > 0, np.cumsum(weight > 0) - 1, -1).astype(np.int32)
+        self.kept = self.weight[weight > 0]
+
+    def __len__(self) -> int:
+        return len(self.kept)
+
+
+def _rows(b: pa.RecordBatch, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, row, value) of a batch's weighted rows, each of length one; terms of no weight are left out."""
     t, row = _flat(b.column("terms"))
-    keep = weight[t] > 0
-    t, row = t[keep], row[keep]
-    w = weight[t]
+    s = weights.slot[t]
+    s, row = s[s >= 0], row[s >= 0]
+    w = weights.kept[s]
     norm = np.sqrt(np.bincount(row, w * w, minlength=b.num_rows))
-    return t, row, (w / np.maximum(norm, 1e-12)[row]).astype(np.float32)
+    return s, row, (w / np.maximum(norm, 1e-12)[row]).astype(np.float32)
 
 
 def _sum_rows(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +216,7 @@ def _sum_rows(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.add.reduceat(m, first, axis=0)
 
 
-def _project(weight: np.ndarray, basis: np.ndarray):
+def _project(weight: Weights, basis: np.ndarray):
     """A task's share of A'A * basis, as chunks of the matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +245,18 @@ def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "data": [total.tobytes()]})
 
 
-def _gram_times(docs: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _gram_times(docs: DataFrame, weight: Weights, basis: np.ndarray) -> np.ndarray:
     parts = docs.select("terms").mapInArrow(_project(weight, basis.astype(np.float32)), "chunk int, data binary")
-    out = np.zeros(basis.shape, np.float64)
+    out = np.zeros(basis.shape, np.float32)
     for r in parts.groupBy("chunk").applyInPandas(_add_chunks, "chunk int, data binary").collect():
         m = np.frombuffer(r["data"], np.float32).reshape(-1, basis.shape[1])
         out[r["chunk"] * _CHUNK : r["chunk"] * _CHUNK + len(m)] = m
     return out
 
 
-def decompose(docs: DataFrame, weight: np.ndarray, rank: int = RANK, passes: int = 2, seed: int = 5) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the weighted matrix of documents and words."""
-    basis = np.random.default_rng(seed).normal(size=(len(weight), rank)) * (weight > 0)[:, None]
+def decompose(docs: DataFrame, weight: Weights, rank: int = RANK, passes: int = 3, seed: int = 5) -> np.ndarray:
+    """The leading right singular vectors (slots x rank) of the weighted matrix of documents and words."""
+    basis = np.random.default_rng(seed).normal(size=(len(weight), rank)).astype(np.float32)
     for i in range(passes):
         image = _gram_times(docs, weight, basis)
         if i < passes - 1:
@@ -244,8 +265,8 @@ def decompose(docs: DataFrame, weight: np.ndarray, rank: int = RANK, passes: int
     return basis @ turn[:, ::-1] if turn is not None else np.linalg.qr(image)[0]
 
 
-def _embed(weight: np.ndarray, space: np.ndarray):
-    table = (space * weight[:, None]).astype(np.float32)
+def _embed(weight: Weights, space: np.ndarray):
+    table = (space * weight.kept[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -270,7 +291,7 @@ def _seed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[str, str], np.ndarray] = {}
     for b in batches:
         if b.num_rows:
-            z = _matrix(b.column("z"), RANK).astype(np.float64)
+            z = _matrix(b.column("z"), len(b.column("z")[0])).astype(np.float64)
             for i, key in enumerate(zip(b.column("subject").to_pylist(), b.column("lang").to_pylist())):
                 sums[key] = sums.get(key, 0) + z[i]
     keys = sorted(sums)
@@ -309,8 +330,12 @@ def _move(centroids: np.ndarray, subject: np.ndarray, n: int):
     return run
 
 
-def _assign(weight: np.ndarray, space: np.ndarray, centroids: np.ndarray, subject: np.ndarray, names: list[str]):
-    table = (space * weight[:, None]).astype(np.float32)
+def _add_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [np.sum(np.stack(pdf["s"].to_list()), axis=0)]})
+
+
+def _assign(weight: Weights, space: np.ndarray, centroids: np.ndarray, subject: np.ndarray, names: list[str]):
+    table = (space * weight.kept[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -319,14 +344,15 @@ def _assign(weight: np.ndarray, space: np.ndarray, centroids: np.ndarray, subjec
                 n = b.num_rows
                 x, row = _flat(b.column("tokens"))
                 sentence = np.cumsum((x < 0) | (np.diff(row, prepend=-1) > 0))
-                keep = x >= 0
-                keep[keep] = weight[x[keep]] > 0
+                slot = np.where(x >= 0, weight.slot[x], -1)
+                keep = slot >= 0
                 doc, subj, lead = [], [], []
                 if keep.any():
-                    ids, v = _sum_rows(table[x[keep]], sentence[keep])
+                    ids, v = _sum_rows(table[slot[keep]], sentence[keep])
                     of = np.zeros(int(sentence[-1]) + 1, np.int64)
                     of[sentence] = row
-                    norm = np.linalg.norm(v, axis=1)
+                    # the length in the space of words, so that a sentence of words the decomposition doesn't hold is near nothing
+                    norm = np.sqrt(np.bincount(sentence[keep], weight.kept[slot[keep]] ** 2)[ids])
                     best, m = _leads(_by_subject((v / np.maximum(norm, 1e-12)[:, None]) @ centroids.T, subject, len(names)))
                     ok = (m >= MARGIN) & (norm > 0)
                     sums = np.bincount(of[ids][ok] * len(names) + best[ok], m[ok], minlength=n * len(names)).reshape(n, -1)
@@ -374,20 +400,25 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     name, court = _counts(read, "names") >= 2, _counts(read, "courts") > 0
     docs = read.select("doc_id", "lang", "tokens").mapInArrow(_strip(name, court), "doc_id bigint, lang string, tokens array<int>, terms array<int>")
     docs = materialize(docs, "terms")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
-    if not sizes:
+    counted = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    n = docs.count()
+    if not n:
         return none
-    group = F.when(F.col("lang").isin([x for x in sizes if x is not None]), F.col("lang"))
+    # a label that few documents carry is no language of this corpus
+    sizes = {r["lang"]: r["count"] for r in counted if r["lang"] is not None and r["count"] >= LANG_SHARE * n}
+    group = F.when(F.col("lang").isin(list(sizes)), F.col("lang"))
     df = {}
     for r in docs.select(group.alias("g"), F.explode("terms").alias("t")).groupBy("g", "t").count().collect():  # at most LANGS * TERMS rows
         df.setdefault(r["g"], np.zeros(TERMS, np.int64))[r["t"]] = r["count"]
     total = sum(df.values()) if df else np.zeros(TERMS, np.int64)
-    n = docs.count()
     weight = np.log(n / np.maximum(total, 1)) * (total >= 2)
     for g, c in df.items():
         if g is not None and sizes[g] >= 20:
             weight[c > COMMON * sizes[g]] = 0
-    space = decompose(docs, weight)
+    if not (weight > 0).any():
+        return none
+    weight = Weights(weight)
+    space = decompose(docs, weight, min(RANK, len(weight)))
     z = materialize(docs.select("doc_id", "lang", "terms").mapInArrow(_embed(weight, space), "doc_id bigint, lang string, z array<float>"), "embedded")
     one = clean_labels(labels, names).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("subject").alias("subject")).where("c = 1").select("doc_id", "subject")
     seeds: dict[tuple[str, str], np.ndarray] = {}
@@ -401,8 +432,8 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     subject = np.array([names.index(k[0]) for k in keys])
     for _ in range(REFINE_ROUNDS):
         moved = np.zeros(centroids.shape, np.float64)
-        for r in z.select("z").mapInArrow(_move(centroids, subject, len(names)), "k int, s array<double>").groupBy("k").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(centroids.shape[1])]).collect():
-            moved[r["k"]] = r[1:]
+        for r in z.select("z").mapInArrow(_move(centroids, subject, len(names)), "k int, s array<double>").groupBy("k").applyInPandas(_add_sums, "k int, s array<double>").collect():
+            moved[r["k"]] = r["s"]
         size = np.linalg.norm(moved, axis=1, keepdims=True)
         centroids = np.where(size > 0, moved / np.maximum(size, 1e-12), centroids).astype(np.float32)
     return docs.select("doc_id", "tokens").mapInArrow(_assign(weight, space, centroids, subject, names), "doc_id bigint, subject string, share double")
