@@ -37,6 +37,8 @@ CLASSES = (*LANGUAGES, NONE)
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4, 5), 32
 #: Labelled segments of each language that the network is fitted on, at most.
 FIT_SEGMENTS = 1500
+#: Steps of 128 windows that training makes at least.
+LEAST_STEPS = 250
 
 
 def label_language(value: Column) -> Column:
@@ -148,6 +150,11 @@ class ByteCnn:
         return self
 
 
+def _rounds(least: int, rows: int) -> int:
+    """Rounds over the rows, more of them where there are few, so that LEAST_STEPS steps are made."""
+    return max(2, least, -(-LEAST_STEPS * 128 // max(1, rows)))
+
+
 def train(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 11) -> ByteCnn | None:
     """A network from labelled texts, some of them mislabelled; None if there are none."""
     clean = [normal(t) for t in texts]
@@ -166,12 +173,12 @@ def train(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 11)
     kept = np.ones(len(x), bool)
     if half.any() and not half.all():
         for side in (half, ~half):
-            judge = ByteCnn(len(CLASSES), seed).fit(x[side], y[side], max(2, rounds // 2), seed)
+            judge = ByteCnn(len(CLASSES), seed).fit(x[side], y[side], _rounds(rounds // 2, int(side.sum())), seed)
             p = judge.log_probs(x[~side])
             kept[np.flatnonzero(~side)] = p[np.arange(len(p)), y[~side]] > np.log(0.5)
     if not kept.any():
         kept[:] = True
-    return ByteCnn(len(CLASSES), seed).fit(x[kept], y[kept], rounds, seed)
+    return ByteCnn(len(CLASSES), seed).fit(x[kept], y[kept], _rounds(rounds, int(kept.sum())), seed)
 
 
 def classify(model: ByteCnn, texts: list[str]) -> tuple[list[str | None], list[float | None]]:

@@ -79,6 +79,8 @@ def cuts(texts: list[str], limit: int, overlap: int) -> list[tuple[np.ndarray, n
     """(starts, ends) of the pieces of each text; all texts at once."""
     if not 0 <= overlap < limit // 3:
         raise ValueError("overlap must be under a third of the limit")
+    if not texts:
+        return []
     size = np.array([len(t) for t in texts], np.int64)
     base = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     total = int((size + 1).sum())

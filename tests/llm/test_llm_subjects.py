@@ -2,7 +2,8 @@ import numpy as np
 
 from mnemolake.llm.subjects import _without_citations, _without_headers, clean_labels, composition, strip_names, subjects
 
-AREAS = {"sport": "goalkeeper referee stadium penalty league".split(), "energy": "turbine pipeline voltage reactor tariff".split(), "farming": "plough orchard harvest cattle fodder".split()}
+STEMS = ("alm", "bren", "corv", "dalt", "ester", "fond", "gurn", "hask", "ilm", "jort")
+AREAS = {a: [s + e for s in STEMS for e in ends] for a, ends in {"sport": ("goal", "league"), "energy": ("volt", "pipe"), "farming": ("crop", "herd")}.items()}
 FILL = ["The hearing took place in spring.", "No further evidence was offered.", "The costs are borne by the party."]
 
 
