@@ -11,7 +11,7 @@ from mnemolake.store import Clock, MemoryStore
 def test_stemmer():
     assert stem_es("zanahorias") == stem_es("zanahoria") and stem_es("canciones") == stem_es("cancion")
     assert stem_es("cantando") == stem_es("cantar") == stem_es("cantaba") == "cant"
-    assert stem_es("rapidamente") == stem_es("rapido") and stem_es("actividades") == stem_es("actividad")
+    assert stem_es("felizmente") == stem_es("feliz") and stem_es("actividades") == stem_es("actividad") and stem_es("rapido") == "rap"
     assert stem_es("si") == "si" and stem_es("") == ""
     assert fold("ñandú") == "nandu"
 
