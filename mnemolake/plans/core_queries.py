@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemolake.functions.analyzer import stemmed_terms, stop_words
-from mnemolake.operators import causal, consent, context, documents, projections, retrieval
+from mnemolake.functions.analyzer import analyze, stemmed_terms, stop_words
+from mnemolake.operators import ann, causal, consent, context, documents, projections, retrieval
 from mnemolake.operators.predicates import Contains, Eq, EventPattern, filter_tokens, has_filters
 from mnemolake.session import materialize
 from mnemolake.sources.tables import current_docs, current_events, table
@@ -155,7 +155,22 @@ def hybrid_rrf(spark, d):
 
 
 def hybrid_stemmed(spark, d):
-    return retrieval.hybrid(_docs(spark, d), _queries(spark, d), DIM, terms=stemmed_terms(stop_words()))
+    stops = stop_words()
+    return retrieval.hybrid(_docs(spark, d), _queries(spark, d), DIM, terms=stemmed_terms(stops), analyze=lambda w: analyze(w, stops))
+
+
+def bm25_operators(spark, d):
+    """Every query's first two words as a phrase, its third required, its fourth excluded."""
+    w = F.filter(F.split("query_text", r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    text = F.when(F.size(w) >= 4, F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" +'), w[2], F.lit(" -"), w[3]))
+    q = _queries(spark, d).withColumn("query_text", text)
+    return retrieval.top(retrieval.bm25_parsed(_docs(spark, d), q), q, F.col("k")).select("query_id", "id", "score", "rank")
+
+
+def ann_topk(spark, d):
+    """The queries' vectors among inverted lists, without filters."""
+    index, book = ann.build(_docs(spark, d), DIM)
+    return ann.search(index, book, _queries(spark, d), DIM, nprobe=8)
 
 
 def vector_stats(spark, d):
@@ -370,7 +385,7 @@ ORACLES["consent_authorized"] = f"""with recursive {_E}, g as (select seq grant_
 _FUNCTIONS = (
     log_stream_scan, log_multi_agent_scan, log_point_read, log_last_seq, facts_current, facts_invalidated, task_state_latest, tool_ledger, tool_stats_scoped, tool_ledger_by_agent,
     pattern_eq, pattern_contains, kind_histogram, collection_scan_page, collection_count, collection_find_by, unique_violations, namespace_list, doc_filter_and, filter_token_counts,
-    batch_dedup_last_wins, vector_topk, vector_topk_filtered, bm25_topk, bm25_boosted_fields, hybrid_rrf, hybrid_stemmed, vector_stats, causal_thread, causal_links, error_loops,
+    batch_dedup_last_wins, vector_topk, vector_topk_filtered, bm25_topk, bm25_boosted_fields, hybrid_rrf, hybrid_stemmed, bm25_operators, ann_topk, vector_stats, causal_thread, causal_links, error_loops,
     objective_drift, phase_summary, harness_process_quality, root_cause, causal_anchors, context_budget_prefix, timeline_lines, token_estimate, consent_active_grants, consent_authorized,
     latency_percentiles, rate_windows, idle_sessions, recall_at_k,
 )

@@ -111,9 +111,11 @@ class SemanticIndex:
             [(0, text, None if vector is None else [float(x) for x in vector], k, [{"field": a, "value": b} for a, b in filters_in(filters)])],
             "query_id bigint, query_text string, vector array<float>, k int, filters array<struct<field:string,value:string>>",
         )
-        from mnemolake.functions.analyzer import stemmed_terms, stop_words
+        from mnemolake.functions.analyzer import analyze, stemmed_terms, stop_words
 
-        hits = retrieval.hybrid(self.frame(), q, self.dimension or 0, boosts, terms or stemmed_terms(stop_words()), fusion.get("k", retrieval.RRF_K))
+        stops = stop_words()
+        read = (lambda w: [w.lower()]) if terms else (lambda w: analyze(w, stops))
+        hits = retrieval.hybrid(self.frame(), q, self.dimension or 0, boosts, terms or stemmed_terms(stops), fusion.get("k", retrieval.RRF_K), read)
         return [{c: r[c] for c in ("id", "score", "text_score", "vector_score")} for r in hits.orderBy("rank").collect()]  # k rows
 
 

@@ -28,6 +28,18 @@ def test_query_reading():
     assert p('"open ((: +') ["should"] == [(None, ["open"])] and p(None) == {"must": [], "should": [], "must_not": []}
 
 
+def test_operators(spark):
+    docs = spark.createDataFrame([("a", "big blue fox", None, None), ("b", "blue big fox", None, None), ("c", "red fox", "big blue", None), ("d", "old big blue fox", None, None)], "id string, body string, name string, tags string").withColumn("filters", F.lit(None).cast("array<struct<field:string,value:string>>"))
+
+    def ids(text):
+        q = spark.createDataFrame([(1, text, 10)], "query_id bigint, query_text string, k int").withColumn("filters", F.lit(None).cast("array<struct<field:string,value:string>>"))
+        return {r["id"] for r in retrieval.bm25_parsed(docs, q).collect()}
+
+    assert ids('"big blue"') == {"a", "c", "d"} and ids('"big blue" -old') == {"a", "c"} and ids('body:"big blue"') == {"a", "d"}
+    assert ids("+red fox") == {"c"} and ids("red AND fox") == {"c"} and ids("fox NOT old") == {"a", "b", "c"} and ids("-fox") == set()
+    assert ids('name:blue') == {"c"} and ids('"') == set() and ids("zebra fox") == {"a", "b", "c", "d"}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     g = np.random.default_rng(1)
