@@ -114,7 +114,7 @@ def canonical_json(text: Column) -> Column:
     as it is, behind a mark that no JSON text starts with, so that it equals only itself; null stays null.
     """
     v = F.try_parse_json(text)
-    return F.when(text.isNull(), F.lit(None).cast(T.StringType())).when(v.isNotNull(), F.to_json(v)).otherwise(F.concat(F.lit("\u0000"), text))
+    return F.when(text.isNull(), F.lit(None).cast(T.StringType())).when(v.isNotNull(), F.to_json(v)).otherwise(F.concat(F.lit("!"), text))
 
 
 def pointer_to_path(pointer: str) -> str:

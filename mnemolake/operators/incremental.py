@@ -5,21 +5,33 @@ files with a row that had arrived by then; its deletion vectors hold the rows of
 yet there, and rows that a later one of their seq had replaced. The next run's input is the difference between the
 version at the run's mark and the version now: rows live now and not then, and rows live then and deleted since. A seq
 whose deleted and added record are equal is unchanged.
+
+Only files added or grown since the earliest mark are read for added rows: the mark is pushed to the scan, and the files'
+statistics of arrival keep the others closed. Older rows count only for seqs that have an added row, as only theirs can
+have entered a deletion vector since; payloads are parsed for those alone.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions.jsonx import canonical_json
+from mnemolake.session import materialize
 
+#: As many seqs with added rows are sent to every task to pick their older rows (8 bytes each); more of them are joined.
+BROADCAST_SEQS = 1_000_000
 #: Projections are a registry of the engine; a journal that names more is refused, as each adds columns to the plan.
 MOST_PROJECTIONS = 1000
 
 
+def _moment(m: datetime) -> Column:
+    """A literal without time zone, whatever the session's is."""
+    return F.lit(m.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def marks(runs: DataFrame) -> DataFrame:
     """(projection, mark): the greatest read_until of the runs with status ok; null for a projection that never had one.
 
@@ -38,7 +50,7 @@ def version_files(manifest: DataFrame, mark: datetime | None) -> DataFrame:
     """Each file of the version now, against the version at the mark: kept (no row came after), grown (some did) or added."""
     if mark is None:
         return manifest.withColumn("state", F.lit("added"))
-    m = F.lit(mark).cast("timestamp_ntz")
+    m = _moment(mark)
     return manifest.withColumn("state", F.when(F.col("last_arrival") <= m, "kept").when(F.col("first_arrival") > m, "added").otherwise("grown"))
 
 
@@ -60,12 +72,19 @@ def record_deltas(log: DataFrame, runs: DataFrame) -> DataFrame:
     at = {m: i for i, m in enumerate(distinct)}
     same = [c for c in log.columns if c not in ("seq", "arrived_at", "payload")]
     content = F.xxhash64(F.lit(7), *[x for c in same for x in (F.col(c), F.col(c).isNull())], canonical_json(F.col("payload")), F.col("payload").isNull())
-    arrived = F.coalesce(F.unix_micros(F.col("arrived_at").cast("timestamp")), F.lit(-(2**62)))
-    rows = log.where("seq is not null").select("seq", arrived.alias("a"), content.alias("h"))
-    micros = lambda m: int((m - datetime(1970, 1, 1)).total_seconds() // 1) * 1_000_000 + m.microsecond
+    arrived = F.coalesce("arrived_at", _moment(datetime(1, 1, 1)))
+    known = log.where("seq is not null")
+    if all(r["mark"] is not None for r in found):
+        earliest = _moment(distinct[0])
+        added = known.where(F.col("arrived_at") > earliest)
+        seqs = materialize(added.groupBy("seq").agg(F.lit(1).alias("x")).select("seq"), "added-seqs")
+        small = seqs.count() <= BROADCAST_SEQS
+        old = known.where(F.col("arrived_at").isNull() | (F.col("arrived_at") <= earliest)).join(F.broadcast(seqs) if small else seqs, "seq", "left_semi")
+        known = added.unionByName(old.select(*added.columns))
+    rows = known.select("seq", arrived.alias("a"), content.alias("h"))
     aggs = [F.max_by("h", "a").alias("now")]
     for m, i in at.items():
-        then = F.when(F.col("a") <= F.lit(micros(m)), F.col("a"))
+        then = F.when(F.col("a") <= _moment(m), F.col("a"))
         aggs.append(F.max_by(F.when(then.isNotNull(), F.col("h")), then).alias(f"then_{i}"))
     seqs = rows.groupBy("seq").agg(*aggs)
     deltas = []
