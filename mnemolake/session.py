@@ -52,6 +52,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return os.path.join(scratch_root(spark), f"{tag}-{uuid.uuid4().hex}")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables this session wrote; frames that read them can't be read any more."""
+    for path in getattr(spark.sparkContext, "_mnemolake_tables", []):
+        h = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        h.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(h, True)
+    spark.sparkContext._mnemolake_tables = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write a Parquet table to the shared folder and read it back.
 
@@ -59,6 +67,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    spark.sparkContext._mnemolake_tables = [*getattr(spark.sparkContext, "_mnemolake_tables", []), path]
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
