@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes that an item costs besides its text.
+# Bytes that an item costs besides its text, and how items are worded.
 OVERHEAD = {"decision": 20, "toolCall": 20, "episode": 20, "anomaly": 10, "phaseSummary": 10, "timelineEntry": 10}
 
+LOOP_TEXT = "Error loop: tool {tool} failed {n} times"
+DRIFT_TEXT = "Objective drift: {n} decisions diverged from intent 'unknown intent'"
+PHASE_TEXT = "Phase {name} completed with {n} decisions"
+EPISODE_TEXT = "Episode {id}"
+
 
 def token_cost(text: str | Column, overhead: int) -> Column:
     """Estimated tokens of an item: a quarter of its UTF-8 bytes and overhead, at least 1."""
@@ -20,9 +25,26 @@ def token_cost(text: str | Column, overhead: int) -> Column:
 
 
 def budget_prefix(items: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """The items of each group up to the first that overflows the budget. Exact as a running sum, since every cost is at least 1."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+    """The items of each group up to the first that overflows the budget. Exact as a running sum, since every cost is at least 1.
+
+    For the same reason only a group's first `budget` items can be among them: the others stay behind in their tasks, so
+    that a group with most of the rows moves no more than that from each.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    first = items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget).drop("_n")
+    return first.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+
+
+def trailing_counts(events: DataFrame, key: str, at: str, span_ms: int) -> DataFrame:
+    """events with in_span: how many records of the key lie in the span up to each record, itself and its ties included.
+
+    A key is cut into spans of its clock, and each record also goes to the next span, as what lies before: a key with most
+    of the rows spreads over many tasks. Records without a clock count among themselves.
+    """
+    slot = F.floor(F.col(at) / F.lit(span_ms))
+    both = events.withColumn("_slot", F.explode(F.when(F.col(at).isNull(), F.array(slot)).otherwise(F.array(slot, slot + 1)))).withColumn("_own", F.coalesce(F.col("_slot") == slot, F.lit(True)))
+    w = Window.partitionBy(key, "_slot").orderBy(at).rangeBetween(-span_ms, 0)
+    return both.withColumn("in_span", F.count(F.lit(1)).over(w)).where("_own").drop("_slot", "_own")
 
 
 def one_line(text: str | Column, most: int) -> Column:
@@ -90,8 +112,8 @@ class Thread:
     drift: list = field(default_factory=list)
 
     def anomaly_items(self) -> list[Item]:
-        out = [Item("anomaly", f"Error loop: tool {_label(r['tool'])} failed {r['repetitions']} times") for r in self.loops]
-        return out + [Item("anomaly", f"Objective drift: {r['repetitions']} decisions diverged from intent 'unknown intent'") for r in self.drift]
+        out = [Item("anomaly", LOOP_TEXT.format(tool=_label(r["tool"]), n=r["repetitions"])) for r in self.loops]
+        return out + [Item("anomaly", DRIFT_TEXT.format(n=r["repetitions"])) for r in self.drift]
 
     def decisions(self) -> list:
         return [n for n in self.nodes if n["node"] == "decision"]
@@ -128,8 +150,8 @@ def build_context(thread: Thread, phase: str, objective: str, max_tokens: int, a
                 seen.add(d["seq"])
                 items.append(Item("decision", d["text"], d["seq"], (name or None) if current else name))
         if compress and not current:
-            items.append(Item("phaseSummary", f"Phase {name} completed with {len(groups[name])} decisions", None, name, [groups[name][0]["seq"]]))
-    items += [Item("episode", f"Episode {e}") for e in episodes or []]
+            items.append(Item("phaseSummary", PHASE_TEXT.format(name=name, n=len(groups[name])), None, name, [groups[name][0]["seq"]]))
+    items += [Item("episode", EPISODE_TEXT.format(id=e)) for e in episodes or []]
     used, kept = 0, []
     for i in items:
         if used + i.tokens() > max_tokens:

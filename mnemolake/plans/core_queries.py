@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mnemolake.functions.analyzer import analyze, stemmed_terms, stop_words
 from mnemolake.operators import ann, causal, consent, context, documents, projections, retrieval
@@ -241,9 +240,9 @@ def latency_percentiles(spark, d):
 
 
 def rate_windows(spark, d):
-    """Records of each agent in the minute up to each record; by clock."""
-    w = Window.partitionBy("agent_id").orderBy("ts_ms").rangeBetween(-3_600_000, 0)
-    return _events(spark, d).select("agent_id", "seq", F.count(F.lit(1)).over(w).alias("in_hour"))
+    """Records of each agent in the hour up to each record, by clock."""
+    e = context.trailing_counts(_events(spark, d).select("agent_id", "seq", "ts_ms"), "agent_id", "ts_ms", 3_600_000)
+    return e.select("agent_id", "seq", F.col("in_span").alias("in_hour"))
 
 
 def idle_sessions(spark, d):
