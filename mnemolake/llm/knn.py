@@ -3,7 +3,8 @@
 Each curve projects the unit vectors by a random rotation, shifts the grid by a random offset and orders the cells along a
 Hilbert curve. Every curve's order is range-partitioned and sorted by Spark; in that order a vector is compared exactly
 with the `window` vectors on either side, in blocks, as matrix products. The best of each window are merged over all curves
-and ranked again. A pair that one curve tears apart is close on another, so recall grows with the number of curves.
+and ranked again. A pair that one curve tears apart is close on another, so recall grows with the number of curves. The grid is fine (16
+bits a side), so that the order means something inside a dense group too, down to about the rounding of similarities.
 
 Copies of one vector are one point with the smallest ids that can matter: a group of copies of any size costs one row a curve,
 and each copy still gets its own result.
@@ -34,15 +35,14 @@ def is_valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """The place of each cell on the Hilbert curve through a grid of 2^bits cells a side; cells: (rows, dimensions).
+def _hilbert_bits(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each cell on the Hilbert curve through a grid of 2^bits cells a side, as (rows, bits * dimensions) binary digits; cells: (rows, dimensions).
 
     Gray-code form: from the top bit down, each axis either inverts the lower bits of the first axis or swaps them with
     its own; what results, read bit by bit across the axes, is the place.
     """
     x = cells.T.astype(np.uint64).copy()
     dims = len(x)
-    one = np.uint64(1)
     for level in range(bits - 1, 0, -1):
         bit, below = np.uint64(1 << level), np.uint64((1 << level) - 1)
         for axis in range(dims):
@@ -56,11 +56,23 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         turn ^= np.where((x[-1] & np.uint64(1 << level)) != 0, np.uint64((1 << level) - 1), np.uint64(0))
     x ^= turn
-    key = np.zeros(x.shape[1], np.uint64)
-    for level in range(bits - 1, -1, -1):
-        for axis in range(dims):
-            key = (key << one) | ((x[axis] >> np.uint64(level)) & one)
-    return key.astype(np.int64)
+    levels = np.arange(bits - 1, -1, -1, dtype=np.uint64)
+    digits = (x[None, :, :] >> levels[:, None, None]) & np.uint64(1)
+    return digits.reshape(bits * dims, -1).T.astype(np.uint8)
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The places as numbers, where bits * dimensions is at most 63."""
+    digits = _hilbert_bits(cells, bits).astype(np.int64)
+    return digits @ (1 << np.arange(digits.shape[1] - 1, -1, -1, dtype=np.int64))
+
+
+def _binary(digits: np.ndarray) -> pa.Array:
+    """Rows of binary digits as byte strings, which sort alike."""
+    packed = np.packbits(digits, axis=1)
+    n, size = packed.shape
+    offsets = np.arange(0, (n + 1) * size, size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -86,8 +98,9 @@ def _keys(batches: Iterator[pa.RecordBatch], dim: int, curves: list, scales: lis
         u = _unit(_matrix(b.column("vector"), dim))
         for i, ((rotation, shift), (lo, width)) in enumerate(zip(curves, scales)):
             side = 1 << bits
-            cells = np.clip(((u @ rotation - lo) / width + shift) / 2 * side, 0, side - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i, np.int32)), pa.array(hilbert_keys(cells, bits)), b.column("uid"), b.column("vector")], ["curve", "key", "uid", "vector"])
+            # the grid reaches a width and more beyond the fitted range, so that few rows lie outside
+            cells = np.clip(((u @ rotation - lo) / width + shift + 1) / 4 * side, 0, side - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i, np.int32)), _binary(_hilbert_bits(cells, bits)), b.column("uid"), b.column("vector")], ["curve", "key", "uid", "vector"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], dim: int, window: int, keep: int) -> Iterator[pa.RecordBatch]:
@@ -116,7 +129,7 @@ def _windows(batches: Iterator[pa.RecordBatch], dim: int, window: int, keep: int
             )
 
 
-def nearest(df: DataFrame, dim: int, k: int = 5, curves: int = 24, window: int = 512, dims: int = 16, bits: int = 3, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, dim: int, k: int = 5, curves: int = 24, window: int = 512, dims: int = 16, bits: int = 16, seed: int = 7) -> DataFrame:
     """(id, near_id, sim, rank): the k most similar others of each id with a valid vector, by cosine rounded to 6 decimals, ties to the smaller id.
 
     df: (id string, vector array<float>), one row an id; extra columns don't matter. Rows with a null id or a vector that
@@ -138,7 +151,7 @@ def nearest(df: DataFrame, dim: int, k: int = 5, curves: int = 24, window: int =
     for rotation, _ in lines:
         lo, hi = np.quantile(fit @ rotation, [0.001, 0.999], axis=0)
         scales.append((lo, np.maximum(hi - lo, 1e-9)))
-    keyed = points.select("uid", "vector").mapInArrow(lambda it: _keys(it, dim, lines, scales, bits), "curve int, key bigint, uid bigint, vector array<float>")
+    keyed = points.select("uid", "vector").mapInArrow(lambda it: _keys(it, dim, lines, scales, bits), "curve int, key binary, uid bigint, vector array<float>")
     parts = max(tasks(spark), -(-n * curves // TASK_ROWS))
     keyed = materialize(keyed, "keyed").repartitionByRange(parts, "curve", "key", "uid").sortWithinPartitions("curve", "key", "uid")
     found = keyed.mapInArrow(lambda it: _windows(it, dim, window, k + 2), "uid bigint, near array<bigint>, sim array<double>")

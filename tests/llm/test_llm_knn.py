@@ -37,3 +37,15 @@ def test_few_and_none(spark):
     assert sorted((r["id"], r["near_id"]) for r in n.collect()) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
     assert pairs_of(n).count() == 3
     assert nearest(df.limit(1), 2).count() == 0 and nearest(df.limit(0), 2).count() == 0
+
+
+def test_dense_third(spark):
+    g = np.random.default_rng(2)
+    centre = g.normal(size=(1, 32))
+    v = np.concatenate([centre + g.normal(size=(1500, 32)) * 0.05, g.normal(size=(3000, 32))]).astype(np.float32)
+    ids = [f"d{i:05d}" for i in g.permutation(4500)]
+    got = {}
+    for r in nearest(spark.createDataFrame(list(zip(ids, v.tolist())), "id string, vector array<float>"), 32, curves=12, window=64).collect():
+        got.setdefault(r["id"], set()).add(r["near_id"])
+    want = brute_force(ids, v, 5, np.arange(0, 1500, 5))
+    assert sum(len(got[i] & set(w)) for i, w in want.items()) / (5 * len(want)) > 0.8
