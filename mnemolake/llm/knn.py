@@ -7,7 +7,9 @@ and ranked again. A pair that one curve tears apart is close on another, so reca
 bits a side), so that the order means something inside a dense group too, down to about the rounding of similarities.
 
 Copies of one vector are one point with the smallest ids that can matter: a group of copies of any size costs one row a curve,
-and each copy still gets its own result.
+and each copy still gets its own result. Points are numbered in order of their smallest id, and the best are picked by rounded
+similarity and number, so ties go to the smaller id. Vectors that differ by less than the rounding shows, such as multiples of
+one, share a cell of a fine grid; whoever meets one of them is also compared with the first of its cell, however many there are.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from mnemolake.session import materialize, tasks
 FIT_ROWS = 20_000
 #: Rows of a task of the range partition.
 TASK_ROWS = 60_000
+#: Sides of the cells that nearly equal unit vectors share; each grid is laid twice, with other offsets.
+CELLS = (1e-5, 3e-4)
 
 
 def is_valid(v: Column, dim: int) -> Column:
@@ -111,17 +115,23 @@ def _windows(batches: Iterator[pa.RecordBatch], dim: int, window: int, keep: int
     t = pa.Table.from_batches(rows).combine_chunks()
     curve, uid = t["curve"].to_numpy(), t["uid"].to_numpy()
     unit = _unit(_matrix(t["vector"].combine_chunks() if t["vector"].num_chunks != 1 else t["vector"].chunk(0), dim))
-    narrow = unit.astype(np.float32)
     edges = [0, *(np.flatnonzero(np.diff(curve)) + 1).tolist(), len(curve)]
     for a, z in zip(edges, edges[1:]):
         for p in range(a, z, window):
             q, lo, hi = min(p + window, z), max(a, p - window), min(z, p + 2 * window)
-            s = narrow[p:q] @ narrow[lo:hi].T
-            s[np.arange(q - p), np.arange(p - lo, q - lo)] = -2
             n = min(keep, hi - lo - 1)
             if n <= 0:
                 continue
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < hi - lo else np.argsort(-s, axis=1)[:, :n]
+            # one number that sorts by similarity at 6 decimals, then by uid
+            place = np.empty(hi - lo)
+            place[np.argsort(uid[lo:hi])] = np.arange(hi - lo)
+            s = unit[p:q] @ unit[lo:hi].T
+            s *= -1e6
+            np.rint(s, out=s)
+            s *= hi - lo
+            s += place
+            s[np.arange(q - p), np.arange(p - lo, q - lo)] = np.inf
+            best = np.argpartition(s, n - 1, axis=1)[:, :n]
             sims = np.einsum("ijk,ik->ij", unit[lo:hi][best], unit[p:q])
             offsets = pa.array(np.arange(0, (q - p + 1) * n, n, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -129,6 +139,42 @@ def _windows(batches: Iterator[pa.RecordBatch], dim: int, window: int, keep: int
             )
 
 
+def _cells(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The cell of each vector in each fine grid, as a hash; a clash only adds candidates."""
+    g = np.random.default_rng(seed)
+    grids = [(side, g.random(dim), g.integers(-(2**62), 2**62, dim) | 1) for side in CELLS for _ in range(2)]
+    for b in batches:
+        if b.num_rows:
+            u = _unit(_matrix(b.column("vector"), dim))
+            for side, shift, odd in grids:
+                cell = (np.floor(u / side + shift).astype(np.int64) * odd).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("uid")], ["cell", "uid"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            sims = np.einsum("ij,ij->i", _unit(_matrix(b.column("a"), dim)), _unit(_matrix(b.column("b"), dim)))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(np.round(sims, 6)), b.column("near")], ["uid", "sim", "near"])
+
+
+def _with_cells(pairs: DataFrame, points: DataFrame, dim: int, keep: int, seed: int) -> DataFrame:
+    """Pairs (uid, sim, near), and each uid's pairs with the first `keep` points of every shared cell that it or one of its partners is in."""
+    cells = points.select("uid", "vector").mapInArrow(lambda it: _cells(it, dim, seed), "cell bigint, uid bigint")
+    first = cells.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("uid"))).where(F.col("_r") <= keep)
+    heads = materialize(first.groupBy("cell").agg(F.collect_list("uid").alias("heads")).where(F.size("heads") > 1), "cells")
+    if heads.isEmpty():
+        return pairs
+    pairs = materialize(pairs, "pairs")
+    shared = materialize(cells.join(heads.select("cell"), "cell", "left_semi"), "shared")
+    met = pairs.select("uid", "near").unionByName(shared.select("uid", F.col("uid").alias("near")))
+    met = met.join(shared.withColumnRenamed("uid", "near"), "near").select("uid", "cell").distinct()
+    more = met.join(heads, "cell").select("uid", F.explode("heads").alias("near")).where("uid <> near").distinct()
+    more = more.join(points.select("uid", F.col("vector").alias("a")), "uid").join(points.select(F.col("uid").alias("near"), F.col("vector").alias("b")), "near")
+    more = more.select("uid", "near", "a", "b").mapInArrow(lambda it: _compare(it, dim), "uid bigint, sim double, near bigint")
+    return pairs.unionByName(more).groupBy("uid", "near").agg(F.max("sim").alias("sim"))
+
+
 def nearest(df: DataFrame, dim: int, k: int = 5, curves: int = 24, window: int = 512, dims: int = 16, bits: int = 16, seed: int = 7) -> DataFrame:
     """(id, near_id, sim, rank): the k most similar others of each id with a valid vector, by cosine rounded to 6 decimals, ties to the smaller id.
 
@@ -139,7 +185,9 @@ def nearest(df: DataFrame, dim: int, k: int = 5, curves: int = 24, window: int =
     valid = materialize(df.where(F.col("id").isNotNull() & is_valid(F.col("vector"), dim)).select("id", F.col("vector").cast("array<float>").alias("vector")), "vectors")
     # points: copies share one, with the k + 1 smallest ids
     ranked = valid.withColumn("_r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("_r") <= k + 1)
-    points = ranked.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("uid", F.monotonically_increasing_id())
+    points = ranked.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0])
+    # numbered in order of the smallest id
+    points = points.repartitionByRange(tasks(spark), "first").sortWithinPartitions("first").withColumn("uid", F.monotonically_increasing_id()).drop("first")
     points = materialize(points, "points")
     n = points.count()
     if n == 0:
@@ -157,7 +205,9 @@ def nearest(df: DataFrame, dim: int, k: int = 5, curves: int = 24, window: int =
     found = keyed.mapInArrow(lambda it: _windows(it, dim, window, k + 2), "uid bigint, near array<bigint>, sim array<double>")
     # merge: of each point the best over all curves; a point brings at most curves * (k + 2) entries
     pairs = found.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("sim", "near")))).alias("c"))
-    pairs = pairs.select("uid", F.explode(F.slice(F.sort_array("c", asc=False), 1, 2 * k + 2)).alias("c")).select("uid", "c.sim", "c.near")
+    ordered = F.array_sort(F.transform("c", lambda x: F.struct((-x["sim"]).alias("far"), x["near"].alias("near"))))
+    pairs = pairs.select("uid", F.explode(F.slice(ordered, 1, 2 * k + 2)).alias("c")).select("uid", (-F.col("c.far")).alias("sim"), F.col("c.near").alias("near"))
+    pairs = _with_cells(pairs, points, dim, k + 2, seed)
     ids = points.select(F.col("uid").alias("near"), "ids")
     others = pairs.join(ids, "near").select("uid", "sim", F.explode("ids").alias("near_id"))
     own = points.where(F.size("ids") > 1).select("uid", F.lit(1.0).alias("sim"), F.explode("ids").alias("near_id"))

@@ -49,3 +49,17 @@ def test_dense_third(spark):
         got.setdefault(r["id"], set()).add(r["near_id"])
     want = brute_force(ids, v, 5, np.arange(0, 1500, 5))
     assert sum(len(got[i] & set(w)) for i, w in want.items()) / (5 * len(want)) > 0.8
+
+
+def test_ties_of_multiples(spark):
+    g = np.random.default_rng(4)
+    one = g.normal(size=(1, 32))
+    v = np.concatenate([one * g.uniform(0.1, 9, (600, 1)), g.normal(size=(200, 32)), one + g.normal(size=(20, 32)) * 0.1]).astype(np.float32)
+    ids = [f"d{i:05d}" for i in g.permutation(820)]
+    got = {}
+    for r in nearest(spark.createDataFrame(list(zip(ids, v.tolist())), "id string, vector array<float>"), 32, curves=12, window=32).orderBy("rank").collect():
+        got.setdefault(r["id"], []).append(r["near_id"])
+    want = brute_force(ids, v, 5, np.arange(600))
+    assert all(got[i] == w for i, w in want.items())
+    want = brute_force(ids, v, 5, np.arange(800, 820))
+    assert sum(len(set(got[i]) & set(w)) for i, w in want.items()) > 90
