@@ -4,7 +4,9 @@
    sentences that cite another decision in parentheses, names of courts, names of parties. A name is a capitalised word that
    begins a party's name in some caption, with the capitalised words after it; where a text writes common nouns small,
    every capitalised word inside a sentence is one.
-2. Words are weighted by inverse document frequency; words that a good share of the documents of one language hold weigh nothing.
+2. Words are weighted by inverse document frequency; words that a good share of one language's texts hold weigh nothing, unless
+   the labels show them to be more frequent under some subject. Documents of the same words count as one text in all that is
+   counted or fitted, so that copies, however many, neither make their words common nor draw a centroid to them.
 3. The truncated decomposition of the matrix of documents and words comes from three passes of a randomised range finder over all
    documents: each task multiplies its rows into a fixed matrix of hashed words and ranks, and those matrices are added up.
 4. Labels, in any spelling, give seed centroids for each subject and language. Over all documents, those that lie clearly
@@ -35,8 +37,10 @@ from mnemolake.session import materialize
 TERMS, RANK, LANGS = 1 << 16, 128, 12
 #: Share of the documents that a language needs to be told apart.
 LANG_SHARE = 0.01
-#: A word in more than this share of a language's documents, or in one document only, weighs nothing.
+#: A word in more than this share of a language's texts weighs nothing if it is as frequent under every subject; nor does a word in one text only.
 COMMON = 0.25
+#: A word is more frequent under a subject if its share is so many times, and so many standard errors above, that of the other subjects.
+TIMES, ERRORS = 2, 3
 #: A text with a smaller share of capitals inside its sentences writes common nouns small.
 NOUN_CAPITALS = 0.18
 #: Lead of a sentence's best subject over the second, and the sum and share of leads that a document's subject needs.
@@ -384,6 +388,30 @@ def _counts(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _typical(texts: DataFrame, labelled: DataFrame, common: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Which of the common words of each language are more frequent under some subject, by the labelled texts."""
+    spark = texts.sparkSession
+    words = [(g, int(t)) for g, c in common.items() for t in np.flatnonzero(c)]
+    out = {g: np.zeros(TERMS, bool) for g in common}
+    if not words:
+        return out
+    seeds = texts.where(F.col("lang").isin(list(common))).join(labelled, "text_id")
+    size = {(r["lang"], r["subject"]): r["count"] for r in seeds.groupBy("lang", "subject").count().collect()}
+    held: dict[str, dict[str, np.ndarray]] = {}
+    pairs = F.broadcast(spark.createDataFrame(words, "lang string, t int"))
+    for r in seeds.select("lang", "subject", F.explode("terms").alias("t")).join(pairs, ["lang", "t"]).groupBy("lang", "subject", "t").count().collect():
+        held.setdefault(r["lang"], {}).setdefault(r["subject"], np.zeros(TERMS))[r["t"]] = r["count"]
+    for g, by in held.items():
+        n, h = sum(c for (l, _), c in size.items() if l == g), sum(by.values())
+        for s, c in by.items():
+            a = size[g, s]
+            if a == n:
+                continue
+            p, q, both = c / a, (h - c) / (n - a), h / n
+            out[g] |= (p > TIMES * q) & (p - q > ERRORS * np.sqrt(both * (1 - both) * (1 / a + 1 / (n - a))))
+    return out
+
+
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(doc_id, subject, share): the one or two areas of each document; share is the area's part of what its sentences show.
 
@@ -400,29 +428,35 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     name, court = _counts(read, "names") >= 2, _counts(read, "courts") > 0
     docs = read.select("doc_id", "lang", "tokens").mapInArrow(_strip(name, court), "doc_id bigint, lang string, tokens array<int>, terms array<int>")
     docs = materialize(docs, "terms")
-    counted = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    n = docs.count()
+    # documents of the same words are one text
+    text_id = F.xxhash64("terms")
+    one_each = docs.groupBy(text_id.alias("text_id")).agg(F.min("doc_id").alias("doc_id"))
+    texts = materialize(docs.select("doc_id", "lang", "terms").join(one_each, "doc_id"), "texts")
+    counted = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    n = texts.count()
     if not n:
         return none
     # a label that few documents carry is no language of this corpus
     sizes = {r["lang"]: r["count"] for r in counted if r["lang"] is not None and r["count"] >= LANG_SHARE * n}
     group = F.when(F.col("lang").isin(list(sizes)), F.col("lang"))
     df = {}
-    for r in docs.select(group.alias("g"), F.explode("terms").alias("t")).groupBy("g", "t").count().collect():  # at most LANGS * TERMS rows
+    for r in texts.select(group.alias("g"), F.explode("terms").alias("t")).groupBy("g", "t").count().collect():  # at most LANGS * TERMS rows
         df.setdefault(r["g"], np.zeros(TERMS, np.int64))[r["t"]] = r["count"]
     total = sum(df.values()) if df else np.zeros(TERMS, np.int64)
     weight = np.log(n / np.maximum(total, 1)) * (total >= 2)
-    for g, c in df.items():
-        if g is not None and sizes[g] >= 20:
-            weight[c > COMMON * sizes[g]] = 0
+    one = clean_labels(labels, names).join(docs.select("doc_id", text_id.alias("text_id")), "doc_id")
+    one = materialize(one.groupBy("text_id").agg(F.countDistinct("subject").alias("c"), F.min("subject").alias("subject")).where("c = 1").select("text_id", "subject"), "labelled")
+    common = {g: c > COMMON * sizes[g] for g, c in df.items() if g is not None and sizes[g] >= 20}
+    typical = _typical(texts, one, common)
+    for g, c in common.items():
+        weight[c & ~typical[g]] = 0
     if not (weight > 0).any():
         return none
     weight = Weights(weight)
-    space = decompose(docs, weight, min(RANK, len(weight)))
-    z = materialize(docs.select("doc_id", "lang", "terms").mapInArrow(_embed(weight, space), "doc_id bigint, lang string, z array<float>"), "embedded")
-    one = clean_labels(labels, names).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("subject").alias("subject")).where("c = 1").select("doc_id", "subject")
+    space = decompose(texts, weight, min(RANK, len(weight)))
+    z = materialize(texts.select(F.col("text_id").alias("doc_id"), "lang", "terms").mapInArrow(_embed(weight, space), "doc_id bigint, lang string, z array<float>"), "embedded").withColumnRenamed("doc_id", "text_id")
     seeds: dict[tuple[str, str], np.ndarray] = {}
-    for r in z.where(group.isNotNull()).join(one, "doc_id").select("subject", "lang", "z").mapInArrow(_seed_sums, "subject string, lang string, s array<double>").collect():
+    for r in z.where(group.isNotNull()).join(one, "text_id").select("subject", "lang", "z").mapInArrow(_seed_sums, "subject string, lang string, s array<double>").collect():
         key = (r["subject"], r["lang"])
         seeds[key] = seeds.get(key, 0) + np.array(r["s"])
     keys = sorted(k for k, v in seeds.items() if np.linalg.norm(v) > 0)

@@ -55,3 +55,20 @@ def test_cleaning(spark):
     assert keep[:4].tolist() == [False, False, True, True]
     l = clean_labels(spark.createDataFrame([(1, " Sprt"), (1, "sport"), (2, "zzzzz")], "doc_id bigint, subject string"), ["sport", "energy"]).collect()
     assert [tuple(r) for r in l] == [(1, "sport")]
+
+
+def test_copies_and_large_subject(spark):
+    docs, truth = made()
+    # half of the rows are copies of one text; every word of a subject of a third of the texts is above a quarter of them
+    docs = [(i, t if t is None or i >= 900 else t.replace("almgoal", "golgol") + " The parties argue about the " + ("golgol." if "sport" in truth[i] else "gulgul."), *rest) for i, t, *rest in docs]
+    source = next(i for i in truth if truth[i] == {"sport"} and i > 100)
+    text = docs[source][1] + " Kilnworks ovens and kilnbricks were replaced by roofers."
+    copies = [(1000 + i, text, "en", "Court of Hask", f"E-{i}", 0) for i in range(250)]
+    d = spark.createDataFrame(docs + copies, "doc_id bigint, text string, lang string, source string, docket_no string, subject int")
+    labels = spark.createDataFrame([(i, s) for i, t in truth.items() if len(t) == 1 and i < 90 for s in t], "doc_id bigint, subject string")
+    got = {}
+    for r in subjects(d, labels, spark.createDataFrame([(a,) for a in AREAS], "subject string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert all("sport" in got.get(i, set()) for i, *_ in copies)
+    right = sum(len(truth[i] & got.get(i, set())) for i in truth)
+    assert right / sum(map(len, truth.values())) > 0.95 and right / sum(len(got.get(i, set())) for i in truth) > 0.95
