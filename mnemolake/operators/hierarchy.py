@@ -256,3 +256,51 @@ def descendants(paths_: DataFrame) -> DataFrame:
     """(ancestor, node, distance): every node below every node, from the table of paths."""
     p = paths_.select("node", F.posexplode("path").alias("pos", "ancestor"), F.size("path").alias("n"))
     return p.where("ancestor <> node").select("ancestor", "node", (F.col("n") - 1 - F.col("pos")).cast("bigint").alias("distance"))
+
+
+def all_descendants(df: DataFrame, node: str, parent: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(ancestor, node, distance): every node below every node, rings included.
+
+    The links of ring members are cut, which makes each the root of what hangs below it. A ring's members are above one
+    another and above all that hangs below any of them, once each, by the shortest way; a node isn't its own descendant.
+    """
+    links = materialize(_links(df, node, parent), "links")
+    ringed = _resolve(links, links.count(), block_rows).where("ring is not null").select("node", "ring")
+    ringed = materialize(links.join(ringed, "node").select("node", "parent", "ring"), "ringed")
+    n = ringed.count()
+    place = _ring_places(ringed, n)
+    cut = links.join(place.select("node", F.lit(True).alias("on")), "node", "left").select("node", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"))
+    tree = materialize(paths(cut, "node", "parent", block_rows), "paths")
+    below = descendants(tree)
+    # a member and what hangs below it, against the other members: up the ring from the member is that many steps more
+    hung = tree.select("node", F.col("path")[0].alias("top"), (F.size("path") - 1).cast("bigint").alias("depth"))
+    own = place.select(F.col("node").alias("top"), "ring", F.col("steps").alias("from_steps"), "size")
+    other = place.select(F.col("node").alias("ancestor"), F.col("ring").alias("_ring"), F.col("steps").alias("to_steps"))
+    hung = hung.join(own, "top")
+    over = hung.join(other, (hung["ring"] == other["_ring"]) & (hung["top"] != other["ancestor"]))
+    up = F.pmod(F.col("from_steps") - F.col("to_steps"), F.col("size"))
+    return below.unionByName(over.select("ancestor", "node", (F.col("depth") + up).cast("bigint").alias("distance")))
+
+
+def _ring_places(ringed: DataFrame, n: int) -> DataFrame:
+    """(node, ring, steps, size) of the nodes on rings: steps up to the ring's smallest id, and the ring's size.
+
+    ringed: (node, parent, ring) of all nodes on rings or below them, n in number. By pointer doubling: with the links of
+    the smallest ids cut, every node's chain ends in its ring's smallest id; a node is on the ring if the chain of that
+    id's parent passes it.
+    """
+    start = F.col("node") == F.col("ring")
+    state = ringed.select("node", "ring", F.when(~start, F.col("parent")).alias("parent"), F.when(start, 0).otherwise(1).cast("bigint").alias("steps"))
+    # on: the last members of the rings, and what is met from them, twice as far each round
+    on = materialize(ringed.where(start).select(F.col("parent").alias("node")).distinct(), "ring")
+    for _ in range(n.bit_length() + 1):
+        b = state.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("steps").alias("_s"))
+        met = on.join(state, "node").where("parent is not null").select(F.col("parent").alias("node"))
+        on = materialize(on.unionByName(met).distinct(), "ring")
+        j = state.join(b, state["parent"] == b["_n"], "left")
+        state = materialize(j.select("node", "ring", F.col("_p").alias("parent"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps")), "ring-steps")
+        if state.where("parent is not null").isEmpty():
+            break
+    place = state.join(on, "node").select("node", "ring", "steps")
+    size = place.groupBy("ring").agg(F.count(F.lit(1)).alias("size"))
+    return materialize(place.join(size, "ring").select("node", "ring", "steps", "size"), "places")

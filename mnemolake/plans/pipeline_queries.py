@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.operators.hierarchy import descendants, hierarchy, paths
+from mnemolake.operators.hierarchy import all_descendants, descendants, hierarchy, paths
 from mnemolake.operators.incremental import record_deltas
 from mnemolake.operators.skew import heavy_keys, key_profile
 from mnemolake.sources.tables import current_events, table
@@ -38,6 +38,12 @@ def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("ancestor").alias("seq"), F.col("node").alias("descendant_seq"), "distance")
 
 
+def p6_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p6_descendants, with what is on rings or hangs below them, which the SQL of that query leaves out."""
+    d = all_descendants(table(spark, sf_dir, "event_log"), "seq", "causation")
+    return d.select(F.col("ancestor").alias("seq"), F.col("node").alias("descendant_seq"), "distance")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_deltas(table(spark, sf_dir, "event_log"), table(spark, sf_dir, "projection_runs")).select("projection", "seq")
 
@@ -64,7 +70,7 @@ _TREE = f"""recursive {_NODES},
       union all
       select c.seq, t.root_seq, t.depth + 1, t.path || '/' || c.seq::varchar from t join n c on c.causation = t.seq)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_agent_profile, p1_stream_profile, p6_found, p6_paths, p6_descendants, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_agent_profile, p1_stream_profile, p6_found, p6_paths, p6_descendants, p6_all_descendants, p7_found)}
 
 ORACLES = {
     "p1_found": """select 'agent_id' field_name, agent_id key_text from event_log where agent_id is not null group by 2 having count(*) >= 0.02 * (select count(*) from event_log)

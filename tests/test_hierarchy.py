@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from mnemolake.operators.hierarchy import descendants, hierarchy, paths
+from mnemolake.operators.hierarchy import all_descendants, descendants, hierarchy, paths
 
 
 def brute(par):
@@ -56,3 +56,21 @@ def test_paths_and_descendants(spark):
         assert path[0] == want[n][0] and path[-1] == n and len(path) == want[n][1] + 1
         assert all(par[b] == a for a, b in zip(path, path[1:]))
     assert descendants(p).count() == sum(d for _, d in want.values() if d > 0)
+
+
+@pytest.mark.parametrize("seed", [4, 6])
+def test_descendants_of_rings(spark, seed):
+    par = made(seed, 150)
+    par.update({1000 + i: 1000 + (i + 1) % 7 for i in range(7)})  # a ring of seven, a tail below it, and a ring of one
+    par.update({2000: 1003, 2001: 2000, 2002: 2001, 3000: 3000, 3001: 3000})
+    want = {}
+    for n in par:
+        x, d = par[n], 1
+        while x in par and (x, n) not in want:
+            if x != n:
+                want[x, n] = d
+            else:
+                break
+            x, d = par[x], d + 1
+    got = [((r["ancestor"], r["node"]), r["distance"]) for r in all_descendants(spark.createDataFrame(list(par.items()), "a bigint, b bigint"), "a", "b", 40).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want
