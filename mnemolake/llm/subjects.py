@@ -9,7 +9,8 @@
    counted or fitted, so that copies, however many, neither make their words common nor draw a centroid to them.
 3. The truncated decomposition of the matrix of documents and words comes from three passes of a randomised range finder over all
    documents: each task multiplies its rows into a fixed matrix of hashed words and ranks, and those matrices are added up.
-4. Labels, in any spelling, give seed centroids for each subject and language. Over all documents, those that lie clearly
+4. Labels, in any spelling, give seed centroids for each subject and language, and one more a subject for the labelled
+   documents of small or unknown languages together that are near none of those. Over all documents, those that lie clearly
    nearest to one centroid move it, a few times.
 5. Each sentence goes to its nearest subject by cosine if it leads the second by a margin. A document has the one or two
    subjects whose sentences lead by enough in sum and in share.
@@ -46,6 +47,8 @@ NOUN_CAPITALS = 0.18
 #: Lead of a sentence's best subject over the second, and the sum and share of leads that a document's subject needs.
 MARGIN, NEED, SHARE = 0.08, 0.3, 0.15
 REFINE_ROUNDS, REFINE_MARGIN = 5, 0.1
+#: A document of an unknown language whose cosine with every centroid is below this is in none of the languages told apart.
+FOREIGN = 0.1
 #: Longest line that counts as a page header, and head of a text where its caption is.
 HEADER_CHARS, CAPTION_CHARS = 100, 900
 
@@ -302,6 +305,16 @@ def _seed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([sums[k].tolist() for k in keys], pa.list_(pa.float64()))], ["subject", "lang", "s"])
 
 
+def _foreign(known: np.ndarray):
+    """Seed sums of the documents that are near none of the known centroids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = (b.filter(pa.array((_matrix(b.column("z"), len(b.column("z")[0])) @ known.T).max(axis=1) < FOREIGN)) if len(known) else b for b in batches if b.num_rows)
+        yield from _seed_sums(far)
+
+    return run
+
+
 def _by_subject(score: np.ndarray, subject: np.ndarray, n: int) -> np.ndarray:
     out = np.full((len(score), n), -1.0, np.float32)
     for k, s in enumerate(subject):
@@ -459,6 +472,10 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     for r in z.where(group.isNotNull()).join(one, "text_id").select("subject", "lang", "z").mapInArrow(_seed_sums, "subject string, lang string, s array<double>").collect():
         key = (r["subject"], r["lang"])
         seeds[key] = seeds.get(key, 0) + np.array(r["s"])
+    known = np.array([v / np.linalg.norm(v) for v in seeds.values() if np.linalg.norm(v) > 0], np.float32)
+    for r in z.where(group.isNull()).withColumn("lang", F.lit("")).join(one, "text_id").select("subject", "lang", "z").mapInArrow(_foreign(known), "subject string, lang string, s array<double>").collect():
+        key = (r["subject"], r["lang"])
+        seeds[key] = seeds.get(key, 0) + np.array(r["s"])
     keys = sorted(k for k, v in seeds.items() if np.linalg.norm(v) > 0)
     if not keys:
         return none

@@ -72,3 +72,17 @@ def test_copies_and_large_subject(spark):
     assert all("sport" in got.get(i, set()) for i, *_ in copies)
     right = sum(len(truth[i] & got.get(i, set())) for i in truth)
     assert right / sum(map(len, truth.values())) > 0.95 and right / sum(len(got.get(i, set())) for i in truth) > 0.95
+
+
+def test_small_language(spark):
+    docs, _ = made()
+    words = {"sport": "kelpo", "energy": "virta", "farming": "pelto"}
+    other = [(2000 + i, "Oikeus\n\n" + " ".join(f"asia koskee {words[a]}{e} ja {words[a]}{f} seudulla." for e, f in (("na", "sta"), ("lla", "ksi"), ("sta", "lle"))), None, "Oikeus", f"F-{i}", 0) for i, a in enumerate(sorted(words) * 8)]
+    truth = {2000 + i: a for i, a in enumerate(sorted(words) * 8)}
+    d = spark.createDataFrame([(x[0], x[1], "en" if x[0] < 2000 else None, *x[3:]) for x in docs + other], "doc_id bigint, text string, lang string, source string, docket_no string, subject int")
+    texts = [(2100 + i, t.replace("asia", f"asia{'abcdefgh'[i % 8]}"), "", s, n, 0) for i, (_, t, _, s, n, _) in enumerate(other)]
+    truth |= {2100 + i: truth[2000 + i] for i in range(len(other))}
+    d = d.unionByName(spark.createDataFrame([(a, b, None, c, e, f) for a, b, _, c, e, f in texts], d.schema))
+    labels = spark.createDataFrame([(i, sorted(AREAS)[i % 3]) for i in range(90) if i % 8] + [(i, a) for i, a in truth.items() if i < 2012], "doc_id bigint, subject string")
+    got = {r["doc_id"]: r["subject"] for r in subjects(d, labels, spark.createDataFrame([(a,) for a in AREAS], "subject string")).collect()}
+    assert sum(got.get(i) == a for i, a in truth.items()) > 0.9 * len(truth)
