@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def raw(payload: str | Column, path: str) -> Column:
@@ -113,8 +112,7 @@ def canonical_json(text: Column) -> Column:
     Built on the variant encoding, which sorts the keys of an object and normalises numbers. A text that isn't JSON stays
     as it is, behind a mark that no JSON text starts with, so that it equals only itself; null stays null.
     """
-    v = F.try_parse_json(text)
-    return F.when(text.isNull(), F.lit(None).cast(T.StringType())).when(v.isNotNull(), F.to_json(v)).otherwise(F.concat(F.lit("!"), text))
+    return F.coalesce(F.to_json(F.try_parse_json(text)), F.concat(F.lit("!"), text))
 
 
 def pointer_to_path(pointer: str) -> str:

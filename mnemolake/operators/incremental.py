@@ -1,14 +1,12 @@
 """What a projection's next run over the log must process: seqs that are new or whose record changed since its last kept run.
 
-The log is a table of immutable files that grows by arrival, so every moment is a version of it. Its manifest holds the
-files with a row that had arrived by then; its deletion vectors hold the rows of those files that didn't count: rows not
-yet there, and rows that a later one of their seq had replaced. The next run's input is the difference between the
-version at the run's mark and the version now: rows live now and not then, and rows live then and deleted since. A seq
-whose deleted and added record are equal is unchanged.
-
-Only files added or grown since the earliest mark are read for added rows: the mark is pushed to the scan, and the files'
-statistics of arrival keep the others closed. Older rows count only for seqs that have an added row, as only theirs can
-have entered a deletion vector since; payloads are parsed for those alone.
+The delivered log is landed in a versioned table: what arrived between two marks is one version, its rows are new files, and
+the rows that it replaces enter a deletion vector. A projection's kept runs are a version that it has processed; its next
+run's input is the difference between the manifests of that version and of the last one: rows of added files, and rows that
+added deletion vectors name. A seq whose removed and added record are equal is unchanged. The rows and the version they were
+found up to are kept in one commit, so a run that fails is repeated without skipping or repeating a record.
+
+A record's content is hashed once, as it lands; differences read seqs, hashes and positions, never payloads.
 """
 
 from __future__ import annotations
@@ -17,14 +15,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemolake.functions.jsonx import canonical_json
-from mnemolake.session import materialize
-
-#: As many seqs with added rows are sent to every task to pick their older rows (8 bytes each); more of them are joined.
-BROADCAST_SEQS = 1_000_000
-#: Projections are a registry of the engine; a journal that names more is refused, as each adds columns to the plan.
-MOST_PROJECTIONS = 1000
+from mnemolake.functions.ranges import bucket_of
+from mnemolake.session import scratch_path
+from mnemolake.sources.versioned import VersionedTable, process_changes
 
 
 def _moment(m: datetime) -> Column:
@@ -41,56 +37,42 @@ def marks(runs: DataFrame) -> DataFrame:
     return runs.where("projection is not null").groupBy("projection").agg(F.max(ok).alias("mark"))
 
 
-def file_manifest(log: DataFrame) -> DataFrame:
-    """(file, rows, first_arrival, last_arrival) of each data file: the version at a moment holds the files whose first arrival is not after it."""
-    return log.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min("arrived_at").alias("first_arrival"), F.max("arrived_at").alias("last_arrival"))
+def content_hash(log: DataFrame) -> Column:
+    """A hash of a record without seq and arrived_at; payloads that are equal as JSON values hash alike."""
+    same = sorted(c for c in log.columns if c not in ("seq", "arrived_at", "payload"))
+    return F.xxhash64(F.lit(7), *[x for c in same for x in (F.col(c), F.col(c).isNull())], canonical_json(F.col("payload")), F.col("payload").isNull())
+
 
+def land_log(log: DataFrame, at: list[datetime], path: str) -> tuple[VersionedTable, str]:
+    """The log as a versioned table, and the name of its column of hashes: version i + 1 is the log as of the i-th moment, the last one the log as of now.
 
-def version_files(manifest: DataFrame, mark: datetime | None) -> DataFrame:
-    """Each file of the version now, against the version at the mark: kept (no row came after), grown (some did) or added."""
-    if mark is None:
-        return manifest.withColumn("state", F.lit("added"))
-    m = _moment(mark)
-    return manifest.withColumn("state", F.when(F.col("last_arrival") <= m, "kept").when(F.col("first_arrival") > m, "added").otherwise("grown"))
+    Rows with a null seq are no records; null arrivals count as oldest, before every moment.
+    """
+    name = "_content"
+    while name in log.columns:
+        name += "_"
+    arrived = F.coalesce("arrived_at", _moment(datetime(1, 1, 1)))
+    at = sorted(set(at))
+    table = VersionedTable(log.sparkSession, path, T.StructType([*log.schema.fields, T.StructField(name, T.LongType())]))
+    rows = log.where("seq is not null").withColumn(name, content_hash(log))
+    table.land(rows, bucket_of(arrived, [_moment(m) for m in at]) + 1, ["seq"], arrived, len(at) + 1)
+    return table, name
 
 
 def record_deltas(log: DataFrame, runs: DataFrame) -> DataFrame:
     """(projection, seq, change) of every seq to process; change is `new` or `changed`.
 
     Records are compared without arrived_at, payloads as JSON values. A projection without a kept run gets every seq, one
-    that read everything none. Both versions of a seq, for all projections, come from one pass: of each seq and version
-    the content hash of its live row, combined in each task before the shuffle, so that a seq with any number of rows
-    costs one row a task. Rows with a null seq are no records; null arrivals count as oldest, before every mark.
+    that read everything none. All projections are served by one pass over the manifests' differences.
     """
-    found = marks(runs).collect()  # the registry of projections
-    if len(found) > MOST_PROJECTIONS:
-        raise ValueError(f"{len(found)} projections in the journal")
     spark = log.sparkSession
+    found = {r["projection"]: r["mark"] for r in marks(runs).collect()}  # the registry of projections
     if not found:
         return spark.createDataFrame([], "projection string, seq bigint, change string")
-    distinct = sorted({r["mark"] for r in found if r["mark"] is not None})
-    at = {m: i for i, m in enumerate(distinct)}
-    same = [c for c in log.columns if c not in ("seq", "arrived_at", "payload")]
-    content = F.xxhash64(F.lit(7), *[x for c in same for x in (F.col(c), F.col(c).isNull())], canonical_json(F.col("payload")), F.col("payload").isNull())
-    arrived = F.coalesce("arrived_at", _moment(datetime(1, 1, 1)))
-    known = log.where("seq is not null")
-    if all(r["mark"] is not None for r in found):
-        earliest = _moment(distinct[0])
-        added = known.where(F.col("arrived_at") > earliest)
-        seqs = materialize(added.groupBy("seq").agg(F.lit(1).alias("x")).select("seq"), "added-seqs")
-        small = seqs.count() <= BROADCAST_SEQS
-        old = known.where(F.col("arrived_at").isNull() | (F.col("arrived_at") <= earliest)).join(F.broadcast(seqs) if small else seqs, "seq", "left_semi")
-        known = added.unionByName(old.select(*added.columns))
-    rows = known.select("seq", arrived.alias("a"), content.alias("h"))
-    aggs = [F.max_by("h", "a").alias("now")]
-    for m, i in at.items():
-        then = F.when(F.col("a") <= _moment(m), F.col("a"))
-        aggs.append(F.max_by(F.when(then.isNotNull(), F.col("h")), then).alias(f"then_{i}"))
-    seqs = rows.groupBy("seq").agg(*aggs)
-    deltas = []
-    for r in sorted(found, key=lambda r: r["projection"]):
-        then = F.lit(None).cast("bigint") if r["mark"] is None else F.col(f"then_{at[r['mark']]}")
-        change = F.when(then.isNull(), F.lit("new")).when(then != F.col("now"), F.lit("changed"))
-        deltas.append(F.when(change.isNotNull(), F.struct(F.lit(r["projection"]).alias("projection"), change.alias("change"))))
-    d = seqs.select("seq", F.explode(F.filter(F.array(*deltas), lambda x: x.isNotNull())).alias("d"))
-    return d.select("d.projection", "seq", "d.change")
+    at = sorted({m for m in found.values() if m is not None})
+    table, content = land_log(log, at, scratch_path(spark, "log"))
+    out = VersionedTable(spark, scratch_path(spark, "deltas"), "name string, seq bigint, change string")
+    # what the journal says was kept
+    out.commit(processed={p: 0 if m is None else at.index(m) + 1 for p, m in found.items()})
+    process_changes(table, out, list(found), ["seq"], content)
+    return out.read().withColumnRenamed("name", "projection")

@@ -3,8 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from mnemolake.operators.incremental import MOST_PROJECTIONS, file_manifest, record_deltas, version_files
-from mnemolake.sources.versioned import VersionConflict, VersionedTable, run_incremental
+from mnemolake.operators.incremental import land_log, record_deltas
+from mnemolake.sources.versioned import VersionConflict, VersionedTable, process_changes, run_incremental
 
 LOG = "seq bigint, agent_id string, correlation string, payload string, arrived_at timestamp_ntz"
 RUNS = "projection string, read_until timestamp_ntz, status string"
@@ -38,17 +38,42 @@ def test_record_deltas(spark):
     got = {(r["projection"], r["seq"], r["change"]) for r in record_deltas(log, runs).collect()}
     assert got == {("p", 2, "changed"), ("p", 3, "new"), ("p", 4, "changed"), ("p", 7, "changed")} | {("q", s, "new") for s in range(1, 8)}
     assert record_deltas(log.limit(0), runs).count() == 0 and record_deltas(log, runs.limit(0)).count() == 0
-    many = spark.range(MOST_PROJECTIONS + 1).select(F.col("id").cast("string").alias("projection"), F.lit(at(1)).cast("timestamp_ntz").alias("read_until"), F.lit("ok").alias("status"))
-    with pytest.raises(ValueError):
-        record_deltas(log, many)
-
-
-def test_manifest_states(spark, tmp_path):
-    for i, days in enumerate(((1, 2), (3, 6), (7, 8))):
-        spark.createDataFrame([(d, "a", None, None, at(d)) for d in days], LOG).coalesce(1).write.parquet(f"{tmp_path}/log/part={i}")
-    m = file_manifest(spark.read.parquet(f"{tmp_path}/log"))
-    assert sorted(r["state"] for r in version_files(m, at(4)).collect()) == ["added", "grown", "kept"]
-    assert {r["state"] for r in version_files(m, None).collect()} == {"added"}
+    many = spark.range(1500).select(F.concat(F.lit("m"), "id").alias("projection"), F.lit(at(1)).cast("timestamp_ntz").alias("read_until"), F.lit("ok").alias("status"))
+    assert record_deltas(log, many).count() == 1500 * 4
+
+
+def test_landed_versions(spark, tmp_path):
+    """Every version of a landed log is the log as of its moment, whatever arrives late, again or in one stretch with what replaces it."""
+    rows = [(s, "a", None, f'{{"x":{d % 3}}}', at(1 + (s * 7 + d * 5) % 20, d)) for s in range(30) for d in range(s % 5)] + [(99, "a", None, f'{{"x":{i}}}', at(3, i % 60)) for i in range(200)]
+    log = spark.createDataFrame(rows, LOG).repartition(3)
+    moments = [at(4), at(9), at(15)]
+    t, content = land_log(log, moments, f"file://{tmp_path}/log")
+    now = {}
+    for v, m in enumerate([*moments, at(31)], 1):
+        then = {}
+        for r in sorted(rows, key=lambda r: r[4]):
+            if r[4] <= m:
+                then[r[0]] = r[4]
+        assert {r["seq"]: r["arrived_at"] for r in t.read(v).collect()} == then
+        now[v] = {r["seq"]: r[content] for r in t.read(v).select("seq", content).collect()}
+    now[0] = {}
+    got = sorted(tuple(r) for r in t.key_changes([0, 1, 2, 3, 4], ["seq"], content).collect())
+    want = [(s, v, "new" if s not in now[v] else "changed") for v in range(5) for s in now[4] if now[v].get(s) != now[4][s]]
+    assert got == sorted(want)
+    # a compaction changes no record
+    t.compact()
+    assert sorted(tuple(r) for r in t.key_changes([0, 1, 2, 3, 4], ["seq"], content).collect()) == sorted(want) and t.manifest()["deleted"] == []
+
+
+def test_consumers_in_one_commit(spark, tmp_path):
+    t, out = table(spark, tmp_path / "s"), VersionedTable(spark, f"file://{tmp_path}/o", "name string, k bigint, change string")
+    t.commit(frame(spark, [(1, "a"), (2, "b"), (3, "c")]))
+    assert process_changes(t, out, ["p"], ["k"], "v") == 1 and out.manifest()["processed"] == {"p": 1}
+    t.upsert(frame(spark, [(2, "B"), (3, "c"), (4, "d")]), ["k"])
+    t._publish(t.manifest() | {"version": 3, "deleted": [*t.manifest()["deleted"]]})
+    process_changes(t, out, ["p", "q"], ["k"], "v")
+    assert sorted(tuple(r) for r in out.read().collect()) == sorted([("p", k, "new") for k in (1, 2, 3)] + [("p", 2, "changed"), ("p", 4, "new")] + [("q", k, "new") for k in (1, 2, 3, 4)])
+    assert out.manifest()["processed"] == {"p": 3, "q": 3} and process_changes(t, out, ["p", "q"], ["k"], "v") is None
 
 
 def table(spark, path, schema="k bigint, v string"):
@@ -75,6 +100,16 @@ def test_versions_and_diff(spark, tmp_path):
         t.commit(frame(spark, [(5, "e")]), base=1)
 
 
+def test_moved_rows_are_no_change(spark, tmp_path):
+    t = table(spark, tmp_path / "t")
+    t.commit(frame(spark, [(i, "a") for i in range(5)]))
+    t.upsert(frame(spark, [(1, "b")]), ["k"])
+    t.compact()
+    assert t.diff(2, 3).count() == 0 and t.manifest()["deleted"] == []
+    t.upsert(frame(spark, [(1, "c"), (9, "z")]), ["k"])
+    assert sorted(tuple(r) for r in t.diff(1).collect()) == [(1, "a", "-"), (1, "c", "+"), (9, "z", "+")]
+
+
 def test_runs_survive_failures(spark, tmp_path):
     src, out = table(spark, tmp_path / "s"), VersionedTable(spark, f"file://{tmp_path}/o", "k bigint, n bigint")
     seen = []
