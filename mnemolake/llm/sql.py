@@ -29,4 +29,6 @@ ORACLES = {
         r as (select id, near_id from (select *, row_number() over (partition by id order by sim desc, near_id) rn from s) where rn <= 5)
         select distinct least(id, near_id) id_a, greatest(id, near_id) id_b from r""",
     "p4_found": f"with {_CALLS} select min(seq) first_seq, max(seq) last_seq from grp group by agent_id, stream_id, g having count(*) >= 3",
+    "p4_runs": f"""with {_CALLS} select agent_id, stream_id, case when tool not like 'seq %' then tool end tool, arg_max(outcome, seq) outcome, min(seq) first_seq, max(seq) last_seq, count(*) n,
+        max(coalesce(ts_ms, 0)) - min(coalesce(ts_ms, 0)) duration_ms from (select agent_id, stream_id, seq, tool, outcome, ts_ms, g from grp) group by agent_id, stream_id, g, tool""",
 }
