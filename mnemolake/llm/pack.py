@@ -1,13 +1,17 @@
 """Fill containers of fixed capacity with items of varying length.
 
 An item over the capacity is cut: full containers of its own, and a rest that is packed like any item. Items are dealt at
-random (by a hash of their id) to blocks of a few hundred containers, one task each. In a block Karmarkar-Karp multiway
+random (by a hash of their id and size) to blocks of a few hundred containers, one task each. In a block Karmarkar-Karp multiway
 differencing makes k windows: each item is a partial partition of one window; the two partial partitions with the
 greatest imbalance are merged so that the fullest window of one meets the emptiest of the other, until one is left. k
-starts at the block's load over the capacity, the least that could do. Near-equal windows then lie close to the capacity,
-some above it: windows that are not over and all but full are kept, the items of the others are filled, largest first, into
-the fullest window with room, and the window count rises whenever none has room. (Raising k and differencing anew until
-no window is over leaves 4 to 10 % of the space unused where containers hold two or three items; this leaves under 1 %.)
+starts at the block's load over the capacity, the least that could do.
+
+Near-equal windows lie close to the capacity, some above it. A window that is over gives up its overflow, the smallest item
+that is enough; windows that are then full but for a little slack are kept. The count rises for what was given up and for the
+windows that weren't kept: their items are differenced again, among themselves, with a little more slack, level after
+level. Where windows hold two or three items differencing alone leaves 3 % unused, as one item is too coarse an overflow; so
+after LEVELS the items still loose go, largest first, to the fullest open window with room, and a window is added whenever
+none has room.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from mnemolake.session import tasks
 #: Containers of a block, as long as its items stay below the second bound.
 BLOCK_WINDOWS = 256
 BLOCK_ITEMS = 20_000
+#: Rows of one id and size that go to a block together.
+COPIES = 16
 #: Items that a task holds, about.
 TASK_ITEMS = 500_000
 
@@ -77,18 +83,42 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return where[:n], load
 
 
-#: A window is kept as differencing made it if at most this share of it is unused; the best of these is taken.
-SLACKS = (0.001, 0.003, 0.01, 0.03)
+#: Share of a window that may be unused for it to be kept, by level.
+LEVELS = (0.002, 0.003, 0.005, 0.008, 0.012, 0.02, 0.03)
 
 
-def _refill(sizes: np.ndarray, where: np.ndarray, load: np.ndarray, capacity: int, slack: float) -> np.ndarray:
-    """Keep the windows that are full but for slack and not over; the items of all others go to the fullest open window with room, largest first."""
-    keep = (load <= capacity) & (load >= capacity * (1 - slack))
+def _level(sizes: np.ndarray, capacity: int, slack: float) -> tuple[np.ndarray, int]:
+    """(window of each item that is kept, -1 for the others; number of windows kept) of one differencing."""
+    k = max(1, -(-int(sizes.sum()) // capacity))
+    where, load = differencing(sizes, k)
+    if load.max() <= capacity:  # k is the least count that could do
+        return where, k
+    stays = np.ones(len(sizes), bool)
+    order = np.lexsort((sizes, where))
+    for w in np.flatnonzero(load > capacity).tolist():
+        mine = order[np.searchsorted(where[order], w) : np.searchsorted(where[order], w, "right")]
+        at = np.searchsorted(sizes[mine], load[w] - capacity)  # the smallest item that is enough
+        if at < len(mine):
+            stays[mine[at]] = False
+            load[w] -= sizes[mine[at]]
+    keep = (load <= capacity) & (load >= capacity * (1 - slack)) & (load > 0)
     number = np.cumsum(keep) - 1
-    out = np.where(keep[where], number[where], -1)
-    k = int(keep.sum())
+    return np.where(stays & keep[where], number[where], -1), int(keep.sum())
+
+
+def pack_block(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """(window of each item, number of windows that differencing made); no window is above the capacity. No item may be above it."""
+    out = np.full(len(sizes), -1, np.int64)
+    loose, k = np.arange(len(sizes)), 0
+    for slack in LEVELS:
+        if not len(loose):
+            break
+        where, more = _level(sizes[loose], capacity, slack)
+        kept = where >= 0
+        out[loose[kept]] = where[kept] + k
+        loose, k = loose[~kept], k + more
+    made = k
     rooms: list[tuple[int, int]] = []
-    loose = np.flatnonzero(out < 0)
     for i in loose[np.argsort(-sizes[loose], kind="stable")].tolist():
         s = int(sizes[i])
         at = bisect_left(rooms, (s, -1))
@@ -98,19 +128,7 @@ def _refill(sizes: np.ndarray, where: np.ndarray, load: np.ndarray, capacity: in
             room, w = rooms.pop(at)
         out[i] = w
         insort(rooms, (room - s, w))
-    return out
-
-
-def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, no window above the capacity. No item may be above it."""
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    k = max(1, -(-int(sizes.sum()) // capacity))
-    where, load = differencing(sizes, k)
-    if load.max() <= capacity:
-        return where
-    tries = [_refill(sizes, where, load, capacity, s) for s in SLACKS]
-    return min(tries, key=lambda w: int(w.max()))  # the first of those that need the fewest windows
+    return out, made
 
 
 def _pack(capacity: int):
@@ -119,8 +137,8 @@ def _pack(capacity: int):
         if not parts:
             return
         for block, pdf in pd.concat(parts, ignore_index=True).groupby("block", sort=True):
-            pdf = pdf.sort_values(["tokens", "item_id", "piece_no"], ascending=[False, True, True], ignore_index=True)
-            pdf["window_no"] = pack_block(pdf["tokens"].to_numpy(np.int64), capacity)
+            pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].sort_values(["tokens", "item_id", "piece_no"], ascending=[False, True, True], ignore_index=True)
+            pdf["window_no"] = pack_block(pdf["tokens"].to_numpy(np.int64), capacity)[0]
             yield pdf[["item_id", "piece_no", "start", "tokens", "block", "window_no"]]
 
     return run
@@ -145,8 +163,11 @@ def pack(items: DataFrame, capacity: int, n_tasks: int | None = None) -> DataFra
     rest = pieces.where(F.col("tokens") < capacity)
     load, count = rest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     blocks = max(1, -(-load // (BLOCK_WINDOWS * capacity)), -(-count // BLOCK_ITEMS))
-    # the row's place breaks ties of repeated ids, so that one id can't fill a block alone
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("item_id", "piece_no", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    # blocks follow ids and sizes, not the layout of the files; rows that agree in both travel as one, a few copies to a block
+    rest = rest.groupBy("item_id", "piece_no", "start", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
+    rest = rest.withColumn("copies", F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).cast("int"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("item_id", "piece_no", "tokens", "part"), F.lit(blocks)).cast("int")).drop("n", "part")
     # several blocks a task: as many tasks as the session has, more only where a task would hold too many rows
     parts = min(blocks, max(n_tasks or tasks(items.sparkSession), -(-count // TASK_ITEMS)))
     rest = rest.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")) if parts > 1 else rest.repartition(1)

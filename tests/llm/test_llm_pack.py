@@ -24,10 +24,27 @@ def test_differencing_is_even():
 @given(st.lists(st.integers(0, 64), max_size=120))
 def test_no_window_over_capacity(sizes):
     s = np.array(sizes, np.int64)
-    where = pack_block(s, 64)
+    where, made = pack_block(s, 64)
     assert len(where) == len(s) and (not len(s) or np.bincount(where, s).max() <= 64)
 
 
+def test_most_windows_come_from_differencing():
+    rng = np.random.default_rng(5)
+    small, large = rng.integers(1, 300, 3000), rng.integers(100, 1500, 1500)
+    for s, capacity, share in ((small, 2048, 0.95), (large, 2048, 0.2)):
+        where, made = pack_block(s, capacity)
+        k = where.max() + 1
+        assert made >= share * k and k <= 1.02 * -(-s.sum() // capacity) + 1
+
+
+def test_layout_does_not_matter(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i) if i % 7 else None, int(x)) for i, x in enumerate(rng.integers(1, 700, 2000))] + [(5, 300)] * 400
+    df = spark.createDataFrame(rows, "item_id bigint, tokens bigint")
+    a, b = (sorted(map(tuple, pack(d, 512).collect()), key=str) for d in (df, df.repartition(3).sortWithinPartitions("tokens")))
+    assert a == b and len(a) == len([1 for _, x in rows for _ in range(-(-x // 512))])
+
+
 def test_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(x)) for i, x in enumerate(rng.lognormal(5, 1, 3000))] + [(9000, 0), (9001, None), (9002, 512), (9003, 1500), (1, 30), (None, 40)]
