@@ -2,14 +2,15 @@
 
 Every node has at most one parent, so the links form trees and rings. The work is done by weighted disjoint-set forests:
 
-1. Nodes are cut into blocks of neighbouring ids. Each block links its own nodes in one forest, where a node holds the
+1. Nodes are range-partitioned and cut into blocks of neighbouring ids, as they are read: a block never holds more than
+   BLOCK_ROWS, however many nodes there are. Each block links its own nodes in one forest, where a node holds the
    offset to its set's root; finds are flattened by path halving, for all nodes at once. What can't be flattened ends in a ring.
 2. A set whose root has its parent in another block becomes one node of a smaller graph, linked to the set that holds
    that parent, with the sum of offsets as weight. That graph is cut into blocks again, and so on until it fits in one.
 3. Results flow back down: a node's root is its set's root, its depth the set's depth plus its own offset.
 
-A block holds a bounded number of rows. Where links reach far, so that the smaller graph isn't smaller, its chains are
-resolved by rounds of pointer doubling, as joins, whatever its size.
+Where links reach far, so that the smaller graph isn't smaller, its chains are resolved by rounds of pointer doubling, as
+joins. A node with most of the links, or a tree with most of the nodes, is a hot key of those joins and is looked up apart.
 
 Nulls: a row with a null id is no node; a null parent, or one that is no node, makes a root. Of several rows of an id one
 counts, the one with the greatest parent. A node that is its own parent is a ring of one.
@@ -21,14 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.session import materialize
+from mnemolake.operators.skew import fragment_join, key_loads, lookup_join, plan_shards
+from mnemolake.session import materialize, tasks
 
 #: Rows of a block, the most that one task links at once (some 100 bytes a row).
 BLOCK_ROWS = 250_000
-_LINKED = "block int, node bigint, set_root bigint, offset bigint, low bigint, ext bigint, ext_weight bigint, ext_low bigint, ring bigint"
+#: Rows that are worth a task of their own.
+TASK_ROWS = 2_000
+#: Entries of the paths that a task holds at once.
+CHAIN_ENTRIES = 4_000_000
+_LINKED = "node bigint, set_root bigint, offset bigint, low bigint, ext bigint, ext_weight bigint, ext_low bigint, ring bigint"
 _RESOLVED = "node bigint, root bigint, depth bigint, ring bigint"
 
 
@@ -59,9 +65,20 @@ def forest(node: np.ndarray, parent: np.ndarray, weight: np.ndarray, low: np.nda
     return up, off, way, ringed, least
 
 
-def _collect(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts, ignore_index=True).sort_values("node", ignore_index=True) if parts else None
+def _blocks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """A task's rows, sorted by node, cut into blocks of at most `rows`."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for b in batches:
+        while len(b):
+            part, b = b.iloc[: rows - n], b.iloc[rows - n :]
+            held.append(part)
+            n += len(part)
+            if n == rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _numbers(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -73,49 +90,43 @@ def _nullable(values: np.ndarray, there: np.ndarray) -> pd.Series:
     return pd.Series(pd.arrays.IntegerArray(values.astype(np.int64), ~there))
 
 
-def _link_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pdf = _collect(batches)
-    if pdf is None:
-        return
+def _link(pdf: pd.DataFrame) -> pd.DataFrame:
     node = pdf["node"].to_numpy(np.int64)
     has, parent = _numbers(pdf["parent"])
-    low = _numbers(pdf["low"])[1]
-    up, off, way, ringed, least = forest(node, parent, pdf["weight"].to_numpy(np.int64), low, has)
-    yield pd.DataFrame(
+    low, weight = _numbers(pdf["low"])[1], pdf["weight"].to_numpy(np.int64)
+    up, off, way, ringed, least = forest(node, parent, weight, low, has)
+    return pd.DataFrame(
         {
-            "block": pdf["block"],
             "node": node,
             "set_root": node[up],
             "offset": off,
             "low": np.minimum(node, way),
             "ext": _nullable(parent[up], has[up] & ~ringed),
-            "ext_weight": pdf["weight"].to_numpy(np.int64)[up],
+            "ext_weight": weight[up],
             "ext_low": low[up],
             "ring": _nullable(least, ringed),
         }
     )
 
 
-def _block_of(c: Column, bounds: list[int]) -> Column:
-    """The number of bounds below an id, by binary search."""
+def _in_blocks(links: DataFrame, parts: int, block_rows: int, work, schema: str) -> DataFrame:
+    """work on each block of the links, which are range-partitioned by node into so many tasks."""
 
-    def cut(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c <= F.lit(bounds[mid]), cut(lo, mid)).otherwise(cut(mid + 1, hi))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _blocks(batches, block_rows):
+            out = work(pdf)
+            if isinstance(out, pd.DataFrame):
+                yield out
+            else:
+                yield from out
 
-    return cut(0, len(bounds)).cast("int")
+    spread = links.repartitionByRange(parts, "node") if parts > 1 else links.repartition(1)
+    return spread.sortWithinPartitions("node").mapInPandas(run, schema)
 
 
-def _bounds(links: DataFrame, rows: int, block_rows: int) -> list[int]:
-    """Ids that cut the nodes into blocks of about block_rows, from quantiles over all of them."""
-    n = min(4096, -(-rows // block_rows))
-    return sorted(set(links.agg(F.percentile_approx("node", [i / n for i in range(1, n)], 50_000)).first()[0])) if n > 1 else []
-
-
-def _blocked(links: DataFrame, bounds: list[int]) -> DataFrame:
-    return links.withColumn("block", _block_of(F.col("node"), bounds)).repartitionById(len(bounds) + 1, "block")
+def _parts(links: DataFrame, rows: int, block_rows: int) -> int:
+    """As many tasks as the session has, where there are rows for them; more where a task would hold more than four blocks."""
+    return max(min(tasks(links.sparkSession), -(-rows // min(TASK_ROWS, block_rows))), -(-rows // (4 * block_rows)), 1)
 
 
 def _doubled(links: DataFrame, rows: int) -> DataFrame:
@@ -126,7 +137,7 @@ def _doubled(links: DataFrame, rows: int) -> DataFrame:
         b = state.select(F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("weight").alias("_w"), F.col("low").alias("_l"))
         on = F.col("_p").isNotNull()
         state = materialize(
-            state.join(b, state["parent"] == b["_n"], "left").select(
+            lookup_join(state, b, "parent", "_n", rows).select(
                 "node",
                 F.when(on, F.col("_p")).otherwise(F.col("parent")).alias("parent"),
                 (F.coalesce("weight", F.lit(0)) + F.when(on, F.col("_w")).otherwise(0)).alias("weight"),
@@ -143,36 +154,38 @@ def _doubled(links: DataFrame, rows: int) -> DataFrame:
     # what still moves after more steps than there are nodes is on a ring or runs into one, and stands on it now
     b = state.where("open").select(F.col("node").alias("_n"), F.col("low").alias("_l"))
     ring = F.when(F.col("open"), F.col("_l"))
-    return state.join(b, state["parent"] == b["_n"], "left").select(
+    return lookup_join(state, b, "parent", "_n", rows).select(
         "node", F.coalesce(ring, "parent", "node").alias("root"), F.when(F.col("open"), -1).when(F.col("parent").isNotNull(), F.col("weight")).otherwise(0).alias("depth"), ring.alias("ring")
     )
 
 
-def _resolve(links: DataFrame, rows: int, block_rows: int) -> DataFrame:
+def _resolve(links: DataFrame, rows: int, block_rows: int, parts: int | None = None) -> DataFrame:
     """Links (node, parent, weight, low), one row a node, to (node, root, depth, ring)."""
     if rows == 0:
         return links.sparkSession.createDataFrame([], _RESOLVED)
-    bounds = [] if rows <= block_rows else _bounds(links, rows, block_rows)
-    linked = _blocked(links, bounds).mapInPandas(_link_block, _LINKED)
+    parts = parts or _parts(links, rows, block_rows)
+    linked = _in_blocks(links, parts, block_rows, _link, _LINKED)
     own = F.when(F.col("ring").isNotNull(), -1).otherwise(F.col("offset"))
-    if not bounds:  # there is no other block: a parent outside is no node
+    if parts == 1 and rows <= block_rows:  # there is no other block: a parent outside is no node
         return linked.select("node", F.coalesce("ring", "set_root").alias("root"), own.alias("depth"), "ring")
     linked = materialize(linked, "forest")
     roots = linked.where(F.col("ext").isNotNull() & (F.col("node") == F.col("set_root"))).select("node", "ext", "ext_weight", "ext_low")
     there = linked.select(F.col("node").alias("_n"), "set_root", "offset", "low", F.col("ring").alias("into"))
     # the set that holds each outside parent; a parent that is no node, or that ends in a ring of its block, ends the chain
-    cross = roots.join(there, roots["ext"] == there["_n"], "left")
+    cross = lookup_join(roots, there, "ext", "_n", rows)
     free = F.col("into").isNull()
     cross = materialize(cross.select("node", F.when(free, F.col("set_root")).alias("parent"), (F.coalesce("offset", F.lit(0)) + F.col("ext_weight")).alias("weight"), F.least("low", "ext_low").alias("low"), "into"), "cross")
-    n = cross.count()
+    whole = materialize(_closed(cross), "sets")
+    n = whole.count()
     if n > rows // 2 and n > block_rows:
-        up = _doubled(_closed(cross), n)
+        up = _doubled(whole, n)
     else:
-        up = _resolve(_closed(cross).select("node", "parent", "weight", "low"), n, block_rows)
+        up = _resolve(whole.select("node", "parent", "weight", "low"), n, block_rows, -(-n // block_rows))
     ends = cross.where("into is not null").select(F.col("node").alias("_e"), "into")
-    up = up.join(ends, up["root"] == ends["_e"], "left")
+    up = lookup_join(materialize(up, "upper"), ends, "root", "_e", n)
     ring = F.coalesce(F.col("ring"), F.col("into"))
     up = up.select(F.col("node").alias("_u"), F.coalesce(ring, F.col("root")).alias("_root"), F.when(ring.isNotNull(), -1).otherwise(F.col("depth")).alias("_depth"), ring.alias("_ring"))
+    # a set lies in one block, so no key here has more than block_rows rows
     out = linked.join(up, linked["set_root"] == up["_u"], "left")
     ring = F.coalesce("ring", "_ring")
     return out.select("node", F.coalesce("ring", "_root", "set_root").alias("root"), F.when(ring.isNotNull(), -1).otherwise(F.col("offset") + F.coalesce("_depth", F.lit(0))).alias("depth"), ring.alias("ring"))
@@ -199,29 +212,35 @@ def hierarchy(df: DataFrame, node: str, parent: str, block_rows: int = BLOCK_ROW
 _CHAIN = "node bigint, set_root bigint, ext bigint, chain array<bigint>"
 
 
-def _chain_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each node's way down from its set's root, by walking the block's parent index in order of depth."""
-    pdf = _collect(batches)
-    if pdf is None:
-        return
+def _chains(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Each node's way down from its set's root, by walking the block's parent index; at most CHAIN_ENTRIES of them, or one node's, at once."""
     node = pdf["node"].to_numpy(np.int64)
     has, parent = _numbers(pdf["parent"])
     up, off, _, ringed, _ = forest(node, parent, np.ones(len(node), np.int64), parent, has)
     at = np.minimum(np.searchsorted(node, parent), len(node) - 1)
     inside = has & (node[at] == parent)
-    size = 20_000
-    for i in range(0, len(node), size):
-        part = np.arange(i, min(i + size, len(node)))
-        part = part[~ringed[part]]
+    left = np.flatnonzero(~ringed)
+    total = np.cumsum(off[left] + 1)
+    a = 0
+    while a < len(left):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHAIN_ENTRIES, "right")))
+        part, a = left[a:z], z
         ends = np.cumsum(off[part] + 1)
-        flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        flat = np.empty(int(ends[-1]), np.int64)
         x, k, live = part.copy(), ends - 1, np.ones(len(part), bool)
         while live.any():  # one step up for all nodes of the part at once
             flat[k[live]] = node[x[live]]
             live &= inside[x]
             x = np.where(live, at[x], x)
             k = k - 1
-        yield pd.DataFrame({"node": node[part], "set_root": node[up[part]], "ext": _nullable(parent[up[part]], has[up[part]]), "chain": np.split(flat, ends[:-1]) if len(part) else []})
+        yield pd.DataFrame({"node": node[part], "set_root": node[up[part]], "ext": _nullable(parent[up[part]], has[up[part]]), "chain": np.split(flat, ends[:-1])})
+
+
+def _paths_over(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str) -> DataFrame:
+    """left joined to the right rows whose key its own names; a key that most of left names is cut into shards, as paths may be long."""
+    name = "_key"
+    left, right = left.withColumnRenamed(key, name), right.withColumnRenamed(right_key, name)
+    return fragment_join(left, right, plan_shards(key_loads(left, [name]), [name]), how).withColumnRenamed(name, key)
 
 
 def paths(df: DataFrame, node: str, parent: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -234,17 +253,17 @@ def paths(df: DataFrame, node: str, parent: str, block_rows: int = BLOCK_ROWS) -
     rows = links.count()
     resolved = materialize(_resolve(links, rows, block_rows), "resolved")
     tree = links.join(resolved.where("ring is null").select("node"), "node")
-    bounds = [] if rows <= block_rows else _bounds(links, rows, block_rows)
-    chains = materialize(_blocked(tree, bounds).mapInPandas(_chain_block, _CHAIN), "chains")
-    if not bounds:
+    parts = _parts(links, rows, block_rows)
+    chains = materialize(_in_blocks(tree, parts, block_rows, _chains, _CHAIN), "chains")
+    if parts == 1 and rows <= block_rows:
         return chains.select("node", F.col("chain").alias("path"))
     r = chains.where(F.col("ext").isNotNull() & (F.col("node") == F.col("set_root"))).select(F.col("node").alias("r"), "ext")
     c = chains.select(F.col("node").alias("_n"), F.col("set_root").alias("nxt"), F.col("chain").alias("seg"))
-    above = materialize(r.join(c, r["ext"] == c["_n"]).select("r", "nxt", "seg"), "above")
+    above = materialize(_paths_over(r, "ext", c, "_n", "inner").select("r", "nxt", "seg"), "above")
     while True:
         b = above.select(F.col("r").alias("_r"), F.col("nxt").alias("_nxt"), F.col("seg").alias("_seg"))
-        j = above.join(b, above["nxt"] == b["_r"], "left")
-        more = F.col("_r").isNotNull()
+        j = _paths_over(above, "nxt", b, "_r", "left")
+        more = F.col("_seg").isNotNull()
         above = materialize(j.select("r", F.col("_nxt").alias("nxt"), F.when(more, F.concat("_seg", "seg")).otherwise(F.col("seg")).alias("seg")), "above")
         if above.where("nxt is not null").isEmpty():
             break
@@ -274,9 +293,10 @@ def all_descendants(df: DataFrame, node: str, parent: str, block_rows: int = BLO
     below = descendants(tree)
     # a member and what hangs below it, against the other members: up the ring from the member is that many steps more
     hung = tree.select("node", F.col("path")[0].alias("top"), (F.size("path") - 1).cast("bigint").alias("depth"))
-    own = place.select(F.col("node").alias("top"), "ring", F.col("steps").alias("from_steps"), "size")
+    own = place.select(F.col("node").alias("_top"), "ring", F.col("steps").alias("from_steps"), "size")
     other = place.select(F.col("node").alias("ancestor"), F.col("ring").alias("_ring"), F.col("steps").alias("to_steps"))
-    hung = hung.join(own, "top")
+    hung = materialize(hung, "hung")
+    hung = lookup_join(hung, own, "top", "_top", hung.count()).where("ring is not null")
     over = hung.join(other, (hung["ring"] == other["_ring"]) & (hung["top"] != other["ancestor"]))
     up = F.pmod(F.col("from_steps") - F.col("to_steps"), F.col("size"))
     return below.unionByName(over.select("ancestor", "node", (F.col("depth") + up).cast("bigint").alias("distance")))

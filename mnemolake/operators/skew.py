@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from mnemolake.session import materialize, tasks
 
 _TASK = "_task"
+#: Slices in which a key is counted before its rows are dealt to shards.
+SLICES = 64
 
 
 @dataclass(frozen=True)
 class ShardPlan:
-    """Where rows go: the tasks of each large key's shards, and the task of each bucket of small keys."""
+    """Where rows go: the task of each shard of each large key, in which a task may hold several, and the task of each bucket of small keys."""
 
     keys: tuple[str, ...]
     n_tasks: int
@@ -63,12 +65,13 @@ def plan_shards(loads: DataFrame, keys: list[str], n_tasks: int | None = None, s
     ks = tuple(keys)
     total = loads.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
     piece = max(1, -(-total // (split * n_tasks)))
-    rows = loads.where(F.col("load") >= piece).select(*ks, "load").collect() if total else []  # at most split * n_tasks
-    assert len(rows) <= split * n_tasks
-    large = sorted(((tuple(r[k] for k in ks), r["load"]) for r in rows), key=lambda x: (-x[1], tuple((v is None, str(v)) for v in x[0])))
-    small = (
-        loads.where(F.col("load") < piece).groupBy(_bucket(ks, n_buckets).alias("_bucket")).agg(F.sum("load").alias("load")).collect() if total else []
-    )  # at most n_buckets
+    # one pass over the loads: a row a large key, at most split * n_tasks, and a row a bucket of small keys, at most n_buckets
+    is_large = F.col("load") >= piece
+    bucket, own = F.when(~is_large, _bucket(ks, n_buckets)).alias("_bucket"), F.when(is_large, F.struct(*ks)).alias("_own")
+    rows = loads.groupBy(bucket, own).agg(F.sum("load").alias("load")).collect() if total else []
+    small = [r for r in rows if r["_bucket"] is not None]
+    large = sorted(((tuple(r["_own"]), r["load"]) for r in rows if r["_bucket"] is None), key=lambda x: (-x[1], tuple((v is None, str(v)) for v in x[0])))
+    assert len(large) <= split * n_tasks
 
     items: list[tuple[float, int, int]] = []  # (load, large key or -1, bucket)
     for i, (_, load) in enumerate(large):
@@ -86,7 +89,7 @@ def plan_shards(loads: DataFrame, keys: list[str], n_tasks: int | None = None, s
             shards[i].append(t)
         else:
             where[b] = t
-    return ShardPlan(ks, n_tasks, n_buckets, total, tuple((k, load, tuple(sorted(set(shards[i])))) for i, (k, load) in enumerate(large)), tuple(where))
+    return ShardPlan(ks, n_tasks, n_buckets, total, tuple((k, load, tuple(sorted(shards[i]))) for i, (k, load) in enumerate(large)), tuple(where))
 
 
 def _large_frame(plan: ShardPlan, df: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def fragment(df: DataFrame, plan: ShardPlan) -> DataFrame:
 def replicate(df: DataFrame, plan: ShardPlan) -> DataFrame:
     """Add _task: one copy of a row for each task that holds a shard of its key, one for small keys."""
     small = F.array(F.element_at(F.lit(list(plan.bucket_task)), _bucket(plan.keys, plan.n_buckets) + 1).cast("int"))
-    return _with_where(df, plan).withColumn(_TASK, F.explode(F.coalesce("_where", small))).drop("_where")
+    return _with_where(df, plan).withColumn(_TASK, F.explode(F.array_distinct(F.coalesce("_where", small)))).drop("_where")
 
 
 def sharded_aggregate(df: DataFrame, plan: ShardPlan, partial: dict[str, Column], merge: dict[str, Column]) -> DataFrame:
@@ -148,17 +151,41 @@ def fragment_join(df: DataFrame, match: DataFrame, plan: ShardPlan, how: str = "
     return left.join(right, on, how).drop(_TASK, "_t", *[f"_m_{k}" for k in plan.keys])
 
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, right_key: str, total: int, split: int = 4) -> DataFrame:
+    """left with the right row whose key its own names, or nulls; right is unique in its key and narrow, left has about `total` rows.
+
+    Keys that more than 1 / (split * tasks) of left name are looked up apart: there are at most split * tasks of them, so their
+    right rows are broadcast; all others meet by a shuffle. A null key names nothing.
+    """
+    most = split * tasks(left.sparkSession)
+    least = max(2, -(-total // most))
+    hot = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).orderBy(F.desc("_n")).select(key).limit(most).collect()]
+    plain = left.join(right, left[key] == right[right_key], "left")
+    if not hot:
+        return plain
+    few, many = right.where(F.col(right_key).isin(hot)), F.coalesce(F.col(key).isin(hot), F.lit(False))
+    rest, top = left.where(~many), left.where(many)
+    return rest.join(right, rest[key] == right[right_key], "left").unionByName(top.join(F.broadcast(few), top[key] == few[right_key], "left"))
+
+
 def heavy_keys(df: DataFrame, fields: list[str], share: float, n_tasks: int | None = None) -> DataFrame:
     """Keys that hold at least `share` of all rows of df, for each field: (field_name, key_text, rows, total).
 
-    Null keys are no keys. The fields are read in one scan: a row counts once for each field.
+    Null keys are no keys. df is read once: each field and key is counted in SLICES slices, combined in each task before the
+    shuffle. These counts give the loads, and they are what the plan deals to the shards of the large keys; the field's total
+    is copied to those shards only, and every key that could hold the share is a large one.
     """
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("key_text")) for f in fields])).alias("p")).select("p.*")
+    spark = df.sparkSession
     keys = ["field_name", "key_text"]
-    plan = plan_shards(key_loads(pairs, keys), keys, n_tasks)
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("key_text")) for f in fields])).alias("p"), F.monotonically_increasing_id().alias("_id")).select("p.*", "_id")
+    counts = materialize(pairs.groupBy(*keys, F.pmod("_id", F.lit(SLICES)).alias("_slice")).agg(F.count(F.lit(1)).alias("n")), "counts").drop("_slice")
+    n_tasks = n_tasks or tasks(spark)
+    plan = plan_shards(counts.groupBy(*keys).agg(F.sum("n").alias("load")), keys, n_tasks, split=max(4, -(-int(2 * len(fields) / share) // n_tasks)))
     total = plan.total // len(fields)
-    counts = sharded_aggregate(pairs, plan, {"n": F.count(F.lit(1))}, {"rows": F.sum("n")})
-    return counts.where(F.col("key_text").isNotNull() & (F.col("rows") >= F.lit(share) * F.lit(total))).withColumn("total", F.lit(total))
+    found = [(*k, total) for k, _, _ in plan.large if k[1] is not None]
+    match = spark.createDataFrame(found, "field_name string, key_text string, total bigint")
+    shards = fragment_join(counts, match, plan).groupBy(*keys, "total").agg(F.sum("n").alias("rows"))
+    return shards.where(F.col("rows") >= F.lit(share) * F.col("total")).select(*keys, "rows", "total")
 
 
 def key_profile(events: DataFrame, field: str, n_tasks: int | None = None) -> DataFrame:
