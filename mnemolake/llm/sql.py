@@ -14,6 +14,10 @@ _CALLS = """cur as (select * exclude (rn) from (select *, row_number() over (par
     marked as (select *, case when tool is distinct from lag(tool) over w or outcome is distinct from lag(outcome) over w then 1 else 0 end brk from m4 window w as (partition by agent_id, stream_id order by seq)),
     grp as (select *, sum(brk) over (partition by agent_id, stream_id order by seq) g from marked)"""
 
+_NEAREST = """v as (select id, vector::double[] v from docs where len(vector) = 32 and not list_contains(list_transform(vector, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, lambda x: x <> 0), true)),
+        s as (select a.id, b.id near_id, round(list_cosine_similarity(a.v, b.v), 6) sim from v a join v b on a.id <> b.id),
+        r as (select * from (select *, row_number() over (partition by id order by sim desc, near_id) rn from s) where rn <= 5)"""
+
 ORACLES = {
     "p2_found": f"""with {_DOCS},
         big as (select id, body from docs where length(body) > 1000),
@@ -23,11 +27,8 @@ ORACLES = {
         l4 as (select *, sum(starts) over (partition by id order by no) para from l3 where true),
         paras as (select id, para, sum(length(line)) + count(*) - 1 - sum(case when ends and no < n and line like '%' || chr(13) then 1 else 0 end) size from l4 where not blank group by id, para)
         select id, 0::integer para_no from big union all select id, para::integer from paras where size > 1000""",
-    "p3_found": f"""with {_DOCS},
-        v as (select id, vector::double[] v from docs where len(vector) = 32 and not list_contains(list_transform(vector, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, lambda x: x <> 0), true)),
-        s as (select a.id, b.id near_id, round(list_cosine_similarity(a.v, b.v), 6) sim from v a join v b on a.id <> b.id),
-        r as (select id, near_id from (select *, row_number() over (partition by id order by sim desc, near_id) rn from s) where rn <= 5)
-        select distinct least(id, near_id) id_a, greatest(id, near_id) id_b from r""",
+    "p3_found": f"""with {_DOCS}, {_NEAREST} select distinct least(id, near_id) id_a, greatest(id, near_id) id_b from r""",
+    "p3_neighbours": f"with {_DOCS}, {_NEAREST} select id, near_id, sim, rn::integer rank from r",
     "p4_found": f"with {_CALLS} select min(seq) first_seq, max(seq) last_seq from grp group by agent_id, stream_id, g having count(*) >= 3",
     "p4_runs": f"""with {_CALLS} select agent_id, stream_id, case when tool not like 'seq %' then tool end tool, arg_max(outcome, seq) outcome, min(seq) first_seq, max(seq) last_seq, count(*) n,
         max(coalesce(ts_ms, 0)) - min(coalesce(ts_ms, 0)) duration_ms from (select agent_id, stream_id, seq, tool, outcome, ts_ms, g from grp) group by agent_id, stream_id, g, tool""",

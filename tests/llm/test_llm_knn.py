@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from mnemolake.llm import knn
 from mnemolake.llm.knn import brute_force, hilbert_keys, nearest, pairs_of
 
 
@@ -63,3 +65,23 @@ def test_ties_of_multiples(spark):
     assert all(got[i] == w for i, w in want.items())
     want = brute_force(ids, v, 5, np.arange(800, 820))
     assert sum(len(set(got[i]) & set(w)) for i, w in want.items()) > 90
+
+
+def test_ranges_and_streams_change_nothing(spark, monkeypatch):
+    """Windows go on over the bounds of ranges and of what is held at once."""
+    g = np.random.default_rng(6)
+    v = (g.normal(size=(80, 32))[g.integers(0, 80, 2500)] + g.normal(size=(2500, 32)) * 0.3).astype(np.float32)
+    ids = [f"d{i:05d}" for i in range(2500)]
+    df = spark.createDataFrame(list(zip(ids, v.tolist())), "id string, vector array<float>")
+    want = {(i, n) for i, x in brute_force(ids, v, 5).items() for n in x}
+    for rows in (60_000, 400):
+        monkeypatch.setattr(knn, "TASK_ROWS", rows)
+        got = {(r["id"], r["near_id"]) for r in nearest(df, 32, curves=10, window=200).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(900, np.int32)), knn._binary(g.permutation(900).astype(">u8").view(np.uint8).reshape(-1, 8)), knn._binary(v[:900].view(np.uint8)), pa.array(np.ones(900, bool))], ["part", "key", "v", "own"])
+    found = []
+    for size in (900, 40):
+        out = knn._windows(iter([rows.slice(i, size) for i in range(0, 900, size)]), 32, 100, 4)
+        found.append({(u, bytes(x)) for b in out for u, x in zip(b.column("uid").to_pylist(), b.column("best").to_pylist())})
+    keep = lambda f: {u: frozenset((int(c["far"]), int(c["near"])) for c in np.frombuffer(x, knn._NEAR)) for u, x in f}
+    assert keep(found[0]) == keep(found[1]) and len(found[0]) == 900
