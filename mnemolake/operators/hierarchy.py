@@ -31,7 +31,7 @@ from mnemolake.session import materialize, tasks
 #: Rows of a block, the most that one task links at once (some 100 bytes a row).
 BLOCK_ROWS = 250_000
 #: Rows that are worth a task of their own.
-TASK_ROWS = 2_000
+TASK_ROWS = 8_000
 #: Entries of the paths that a task holds at once.
 CHAIN_ENTRIES = 4_000_000
 _LINKED = "node bigint, set_root bigint, offset bigint, low bigint, ext bigint, ext_weight bigint, ext_low bigint, ring bigint"
