@@ -80,6 +80,7 @@ def test_ranges_and_streams_change_nothing(spark, monkeypatch):
         assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
     rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(900, np.int32)), knn._binary(g.permutation(900).astype(">u8").view(np.uint8).reshape(-1, 8)), knn._binary(v[:900].view(np.uint8)), pa.array(np.ones(900, bool))], ["part", "key", "v", "own"])
     found = []
+    monkeypatch.setattr(knn, "STEP", 1)
     for size in (900, 40):
         out = knn._windows(iter([rows.slice(i, size) for i in range(0, 900, size)]), 32, 100, 4)
         found.append({(u, bytes(x)) for b in out for u, x in zip(b.column("uid").to_pylist(), b.column("best").to_pylist())})
