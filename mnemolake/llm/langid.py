@@ -66,22 +66,27 @@ _WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
 
 def has_words(text: str) -> bool:
     """Whether a text holds words: two or more letter-only words, one of them of three letters or more."""
-    words = _WORD.findall(unicodedata.normalize("NFC", text))
-    return len(words) >= 2 and any(len(w) >= 3 for w in words)
+    words, long = 0, False
+    for m in _WORD.finditer(unicodedata.normalize("NFC", text)):
+        words += 1
+        long |= m.end() - m.start() >= 3
+        if long and words >= 2:
+            return True
+    return False
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all windows, the number of windows of each text); windows overlap by the widest filter, the last is padded with 0."""
-    step = WINDOW - max(WIDTHS) + 1
-    out, counts = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        b = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-        n = max(1, -(-(len(b) - max(WIDTHS) + 1) // step))
-        x = np.zeros((n - 1) * step + WINDOW, np.uint8)
-        x[: len(b)] = b
-        out.append(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::step])
-        counts[i] = n
-    return (np.concatenate(out) if out else np.zeros((0, WINDOW), np.uint8)), counts
+    step, over = WINDOW - max(WIDTHS) + 1, max(WIDTHS) - 1
+    codes = [t.encode("utf-8", "replace") for t in texts]
+    counts = np.maximum(1, -(-(np.array([len(b) for b in codes], np.int64) - over) // step))
+    sizes = (counts - 1) * step + WINDOW
+    flat = np.frombuffer(b"".join(b.ljust(n, b"\0") for b, n in zip(codes, sizes.tolist())), np.uint8)
+    if not len(flat):
+        return np.zeros((0, WINDOW), np.uint8), counts
+    first = np.repeat(np.cumsum(sizes) - sizes, counts)
+    within = np.arange(len(first)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[first + within * step], counts
 
 
 class ByteCnn:
