@@ -28,7 +28,7 @@ TOKENIZER = "byte_bpe_50k"
 #: Chunks and joints that a worker keeps (some 500 bytes each).
 TABLE_ENTRIES = 120_000
 #: One byte in so many ends a chunk.
-CHUNK_BYTES = 128
+CHUNK_BYTES = 1024
 #: How the byte-level vocabularies split a text (a fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -49,12 +49,13 @@ MARGIN, NEED, SHARE = 0.08, 0.3, 0.15
 REFINE_ROUNDS, REFINE_MARGIN = 5, 0.1
 #: A document of an unknown language whose cosine with every centroid is below this is in none of the languages told apart.
 FOREIGN = 0.1
-#: Longest line that counts as a page header, and head of a text where its caption is.
-HEADER_CHARS, CAPTION_CHARS = 100, 900
+#: Longest line that counts as a page header.
+HEADER_CHARS = 100
 
 # The line between the parties of a caption, by language.
 VERSUS = ("v.", "vs.", "gegen", "contre", "contra", "contro")
 
+_VERSUS = re.compile(rf"^[ \t]*(?:{'|'.join(map(re.escape, VERSUS))})[ \t]*$", re.M)
 _HYPHEN = re.compile(r"-\n[ \t]*(?=[^\W\d_])")
 _CITATION = re.compile(r"\([^()]*\d{4}[^()]*\)")
 _TOKEN = re.compile(r"[^\W\d_]{3,}|[.!?](?=\s|$)")
@@ -104,15 +105,14 @@ def _without_citations(t: str) -> str:
 
 
 def _caption_names(t: str) -> list[str]:
-    """The first word of each party's name in the caption."""
-    lines = [x for x in (y.strip() for y in t[:CAPTION_CHARS].split("\n")) if x][:16]
+    """The first word of each party's name: of the lines above and below a line between the parties, wherever in the text it stands."""
     out = []
-    for i, x in enumerate(lines):
-        if x in VERSUS:
-            for y in lines[max(0, i - 1) : i] + lines[i + 1 : i + 2]:
-                words = _TOKEN.findall(y.rstrip(",").rsplit(",", 1)[0])
-                if words and words[0][0].isupper():
-                    out.append(words[0])
+    for m in _VERSUS.finditer(t):
+        above, below = t[: m.start()].rstrip(), t[m.end() :].lstrip()
+        for y in (above[above.rfind("\n") + 1 :].strip(), below.split("\n", 1)[0].strip()):
+            words = _TOKEN.findall(y.rstrip(",").rsplit(",", 1)[0])
+            if words and words[0][0].isupper():
+                out.append(words[0])
     return out
 
 
