@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from mnemolake.operators.predicates import field_paths, in_namespace, text_leaves, value_matches
+from mnemolake.operators.predicates import in_namespace, texts_at, value_matches
 from mnemolake.store import MemoryStore
 
 _MOST_LEVELS = 16
@@ -43,21 +43,29 @@ class NamespaceStore:
 
     def put(self, namespace: tuple[str, ...], key: str, value: dict | None, index: bool | list[str] = True) -> None:
         """Keep an item; None deletes it. With index=False it is kept but not found by text."""
-        if not namespace or len(namespace) > _MOST_LEVELS:
+        self.put_many([(namespace, key, value, index)])
+
+    def put_many(self, items: list[tuple]) -> None:
+        """Items (namespace, key, value, index) as one version of the documents and one of the index; of repeated keys the last counts."""
+        if any(not 0 < len(ns) <= _MOST_LEVELS for ns, *_ in items):
             raise ValueError(f"a namespace has 1 to {_MOST_LEVELS} levels")
-        id_ = self._id(namespace, key)
-        if value is None:
-            self.store.documents.delete(self.COLLECTION, id_)
-            self.store.index.delete(id_)
-            return
-        have, now = self.store.documents.get(self.COLLECTION, id_), self.store.clock.now_ms()
-        self.store.documents.put(self.COLLECTION, id_, {"namespace": list(namespace), "key": key, "value": value, "created_at": have[1]["created_at"] if have else now, "updated_at": now})
-        if index is False:
-            self.store.index.delete(id_)
-            return
-        paths = self.fields if index is True else index
-        body = "\n".join(t for p in paths for v in field_paths(value, p) for t in text_leaves(v))
-        self.store.upsert_doc(id=id_, body=body, filters=[(f"ns{i}", level) for i, level in enumerate(namespace)])
+        last = {self._id(ns, key): (ns, key, value, index) for ns, key, value, index in items}
+        now = self.store.clock.now_ms()
+        known = self.store.documents.frame().where((F.col("collection") == self.COLLECTION) & F.col("id").isin(list(last)))
+        born = {r["id"]: int(r["at"]) for r in known.select("id", F.get_json_object("doc", "$.created_at").alias("at")).collect()}
+        rows, found = [], {}
+        for id_, (ns, key, value, index) in last.items():
+            if value is None:
+                rows.append({"op": "delete", "collection": self.COLLECTION, "id": id_})
+                found[id_] = None
+                continue
+            doc = {"namespace": list(ns), "key": key, "value": value, "created_at": born.get(id_, now), "updated_at": now}
+            rows.append({"op": "put", "collection": self.COLLECTION, "id": id_, "doc": doc})
+            paths = [] if index is False else self.fields if index is True else index
+            levels = [(f"ns{i}", level) for i, level in enumerate(ns)]
+            found[id_] = {"id": id_, "body": "\n".join(texts_at(value, paths)), "filters": levels} if index is not False else None
+        self.store.documents.batch(rows)
+        self.store.index_batch([d for d in found.values() if d], [i for i, d in found.items() if d is None])
 
     def get(self, namespace: tuple[str, ...], key: str) -> Item | None:
         have = self.store.documents.get(self.COLLECTION, self._id(namespace, key))
@@ -77,8 +85,8 @@ class NamespaceStore:
             rows = rows.where(value_matches("value", filter))
         if not query:
             return [self._item(json.loads(r["doc"])) for r in rows.orderBy("id").offset(offset).limit(limit).collect()]
-        k = limit + offset if not filter else max(limit + offset, self.store.index.frame().count())
-        hits = self.store.query_hybrid(query, k=max(1, k), filters=[(f"ns{i}", level) for i, level in enumerate(prefix)])
+        named = [(f"ns{i}", level) for i, level in enumerate(prefix) if level != "*"]
+        hits = self.store.query_hybrid(query, k=max(1, limit + offset), filters=named, allow=rows.select("id"))
         ranked = self.store.spark.createDataFrame([(h["id"], i, h["score"]) for i, h in enumerate(hits)], "id string, place int, score double")
         found = rows.join(ranked, "id").orderBy("place").offset(offset).limit(limit).collect()
         return [self._item(json.loads(r["doc"]), r["score"]) for r in found]
@@ -89,7 +97,7 @@ class NamespaceStore:
         return [tuple(r["ns"]) for r in ns.collect()]
 
     def batch(self, ops: Iterable[tuple]) -> list:
-        """Operations ("put" | "get" | "search" | "list_namespaces" | "delete", arguments...) in order."""
+        """Operations ("put" | "put_many" | "get" | "search" | "list_namespaces" | "delete", arguments...) in order."""
         return [getattr(self, name)(*args) for name, *args in ops]
 
 
@@ -108,9 +116,14 @@ class TextStore:
         self.store.documents.batch([{"op": "put", "collection": "texts", "id": i, "doc": {"text": t, "metadata": m}} for i, t, m in zip(ids, texts, metas)])
         return ids
 
+    @classmethod
+    def from_texts(cls, store: MemoryStore, texts: list[str], metadatas: list[dict] | None = None, ids: list[str] | None = None) -> TextStore:
+        out = cls(store)
+        out.add_texts(texts, metadatas, ids)
+        return out
+
     def delete(self, ids: list[str]) -> None:
-        for i in ids:
-            self.store.index.delete(i)
+        self.store.index_batch([], ids)
         self.store.documents.batch([{"op": "delete", "collection": "texts", "id": i} for i in ids])
 
     def get_by_ids(self, ids: list[str]) -> list[dict]:
@@ -119,6 +132,15 @@ class TextStore:
         return [{"id": i} | rows[i] for i in ids if i in rows]
 
     def similarity_search(self, query: str, k: int = 4, filter: dict | None = None) -> list[tuple[dict, float]]:
-        hits = self.store.query_hybrid(query, k=k, filters=filter)
+        return self._documents(self.store.query_hybrid(query, k=k, filters=filter))
+
+    def similarity_search_by_vector(self, vector: list[float], k: int = 4, filter: dict | None = None) -> list[tuple[dict, float]]:
+        return self._documents(self.store.query_hybrid(vector=vector, k=k, filters=filter))
+
+    def vectors_by_ids(self, ids: list[str]) -> dict[str, list[float] | None]:
+        rows = self.store.index.frame().where(F.col("id").isin(ids)).select("id", "vector").collect()
+        return {r["id"]: r["vector"] for r in rows}
+
+    def _documents(self, hits: list[dict]) -> list[tuple[dict, float]]:
         docs = {d["id"]: d for d in self.get_by_ids([h["id"] for h in hits])}
         return [(docs[h["id"]], h["score"]) for h in hits if h["id"] in docs]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -86,6 +88,26 @@ class AgentContext:
     def contains_seq(self, seq: int) -> bool:
         return any(i.seq == seq for i in self.items)
 
+    def content_hash(self) -> int:
+        """The same for contexts with the same content, in any process."""
+        text = json.dumps([[asdict(i) for i in self.items], self.episodes], sort_keys=True, ensure_ascii=False)
+        return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+
+    def phase_summary(self, phase: str) -> tuple[bool, list[int]] | None:
+        """(whether the phase is summed up, the seqs of its key decisions), or None where nothing of it is here."""
+        of = [i for i in self.items if i.phase == phase]
+        short = next((i for i in of if i.type == "phaseSummary"), None)
+        seqs = [i.seq for i in of if i.type in ("decision", "toolCall") and i.seq is not None]
+        return (True, short.key_decisions) if short else (False, seqs) if seqs else None
+
+    def has_content_from_phase(self, phase: str) -> bool:
+        return self.phase_summary(phase) is not None
+
+    def spans_sessions(self, sessions: list[str]) -> bool:
+        """Whether each name is a phase with content here, or is spoken of by a decision or call."""
+        texts = [i.text for i in self.items if i.type in ("decision", "toolCall")]
+        return all(self.has_content_from_phase(s) or any(s in t for t in texts) for s in sessions)
+
     def phases(self) -> set[str]:
         return {i.phase for i in self.items if i.phase is not None}
 

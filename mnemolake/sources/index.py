@@ -56,15 +56,22 @@ class SemanticIndex:
     def frame(self) -> DataFrame:
         return self.table.read()
 
-    def upsert(self, docs: list[dict]) -> None:
-        """Replace documents by id; of repeated ids the last counts. A document without a vector loses the one it had."""
+    def upsert(self, docs: list[dict], gone: list[str] | None = None) -> None:
+        """Replace documents by id, and delete those gone; of repeated ids the last counts. A document without a vector loses the one it had."""
         last: dict[str, tuple] = {}
         for d in docs:
             self.check_vector(d.get("vector"))
             v = d.get("vector")
             last[d["id"]] = (d["id"], d.get("name"), d.get("body"), d.get("tags"), None if v is None else [float(x) for x in v], [{"field": k, "value": x} for k, x in filters_in(d.get("filters"))])
-        if last:
-            self.table.upsert(self.spark.createDataFrame(list(last.values()), self.SCHEMA), ["id"])
+        self._replace(last, [i for i in gone or [] if i not in last])
+
+    def _replace(self, last: dict[str, tuple], gone: list[str]) -> None:
+        """One version: these documents instead of those with their ids, and without the ids that are gone."""
+        ids = [*last, *gone]
+        if ids:
+            base = self.table.version()
+            old = self.table.positions(base).where(F.col("id").isin(ids)).select(F.col("_file").alias("file"), F.col("_row").alias("row_index"))
+            self.table.commit(self.spark.createDataFrame(list(last.values()), self.SCHEMA) if last else None, old if base else None, base=base)
 
     def upsert_frame(self, docs: DataFrame, order: list[str]) -> None:
         """Bulk load: of repeated ids the last in order counts; a vector that isn't valid fails the job."""
@@ -98,7 +105,8 @@ class SemanticIndex:
         r = self.frame().agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("vector").isNotNull()).alias("vectors")).first()
         return r.asDict() | {"dimension": self.dimension or 0}
 
-    def query(self, text: str | None = None, vector: list[float] | None = None, k: int = 10, filters: object = None, fusion: dict | None = None, boosts: dict | None = None, terms=None) -> list[dict]:
+    def query(self, text: str | None = None, vector: list[float] | None = None, k: int = 10, filters: object = None, fusion: dict | None = None, boosts: dict | None = None, terms=None, allow: DataFrame | None = None) -> list[dict]:
+        """The k best documents; allow, a table of ids, leaves out all others before the best are chosen."""
         if k < 1:
             raise ValueError("k must be positive")
         fusion = fusion or {"kind": "rrf"}
@@ -113,7 +121,7 @@ class SemanticIndex:
 
         stops = stop_words()
         read = (lambda w: [w.lower()]) if terms else (lambda w: analyze(w, stops))
-        hits = retrieval.hybrid(self.frame(), q, self.dimension or 0, boosts, terms or stemmed_terms(stops), fusion.get("k", retrieval.RRF_K), read)
+        hits = retrieval.hybrid(self.frame(), q, self.dimension or 0, boosts, terms or stemmed_terms(stops), fusion.get("k", retrieval.RRF_K), read, allow)
         return [{c: r[c] for c in ("id", "score", "text_score", "vector_score")} for r in hits.orderBy("rank").collect()]  # k rows
 
 
