@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM = 64
@@ -45,6 +46,12 @@ def embedding_text(name: str | None, tags: str | None, body: str | None) -> str:
     return "\n".join(t for t in ((x or "").strip() for x in (name, tags, body)) if t)
 
 
+def embedding_text_column(name: str = "name", tags: str = "tags", body: str = "body") -> Column:
+    """embedding_text as an expression over columns."""
+    trimmed = [F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "") for c in (name, tags, body)]
+    return F.array_join(F.filter(F.array(*trimmed), lambda x: x != ""), "\n")
+
+
 def embed_udf(embed: Callable[[str], list[float] | None] = hashed_words):
     """An embedder as a vectorised function of a text column."""
 

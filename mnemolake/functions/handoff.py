@@ -6,6 +6,9 @@ import json
 import re
 import urllib.parse
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Bounds of texts and lists, and the headings of a rendered state, most important first.
 OBJECTIVE_CHARS, ITEM_CHARS, MOST_ITEMS = 500, 400, 30
 OBJECTIVE = "Objetivo: "
@@ -26,6 +29,12 @@ def key_of(agent: str, task: str) -> str:
     return ":".join(urllib.parse.quote(part, safe="") for part in (agent, task))
 
 
+def key_column(agent: str, task: str) -> Column:
+    """key_of as an expression over columns; null where either is empty."""
+    parts = [F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")) for c in (agent, task)]
+    return F.when((F.length(agent) > 0) & (F.length(task) > 0), F.concat(parts[0], F.lit(":"), parts[1]))
+
+
 def _line(value: object, most: int) -> str:
     """A value as one line: texts as they are, other values as JSON, nothing for null."""
     text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False) if value is not None else ""

@@ -37,6 +37,47 @@ def budget_prefix(items: DataFrame, by: list[str], order: list[str], cost: str,
     return first.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
 
 
+def context_items(nodes: DataFrame, phase: str) -> DataFrame:
+    """(stream_id, sect, k1, k2, k3, type, text, seq, cost) of every stream: what a context of it holds, in order of sect and keys.
+
+    Error loops, drift, then phases by name, a decision without one being of the current phase: this phase's decisions in full, of
+    the others the first decision and how many there were.
+    """
+    from mnemolake.operators import causal
+
+    none, no = F.lit(""), F.lit(None).cast("bigint")
+
+    def items(df: DataFrame, sect: int, kind: str, text: Column, k1: Column = none, k2: Column = none, k3: Column = F.lit(0), seq: Column = no) -> DataFrame:
+        row = df.select("stream_id", F.lit(sect).alias("sect"), k1.alias("k1"), k2.alias("k2"), k3.cast("bigint").alias("k3"), F.lit(kind).alias("type"), text.alias("text"), seq.alias("seq"))
+        return row.withColumn("cost", token_cost("text", OVERHEAD[kind]))
+
+    def worded(pattern: str, **parts: Column) -> Column:
+        """A wording with columns in the places of its names."""
+        return F.concat(*[parts[p[1:-1]].cast("string") if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", pattern) if p])
+
+    quoted = F.concat(F.lit('Some("'), F.replace(F.replace("tool", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('")'))
+    loops = items(causal.error_loops(nodes), 0, "anomaly", worded(LOOP_TEXT, tool=quoted, n=F.col("repetitions")), F.col("tool"), F.col("message"))
+    drift = items(causal.objective_drift(nodes), 1, "anomaly", worded(DRIFT_TEXT, n=F.col("repetitions")))
+    d = nodes.where("node = 'decision'").withColumn("name", F.coalesce("phase", F.lit(phase)))
+    now, past = d.where(F.col("name") == phase), d.where(F.col("name") != phase)
+    past = past.groupBy("stream_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.min_by("text", "seq").alias("text"))
+    now = items(now, 2, "decision", F.col("text"), F.col("name"), k3=F.col("seq"), seq=F.col("seq"))
+    first = items(past, 2, "decision", F.col("text"), F.col("name"), k3=F.col("seq"), seq=F.col("seq"))
+    summed = items(past, 2, "phaseSummary", worded(PHASE_TEXT, name=F.col("name"), n=F.col("n")), F.col("name"), k3=F.lit(2**63 - 1))
+    return loops.unionByName(drift).unionByName(now).unionByName(first).unionByName(summed)
+
+
+def context_windows(nodes: DataFrame, phase: str, max_tokens: int) -> DataFrame:
+    """context_items of each stream up to the first that overflows the budget, with the tokens used so far."""
+    return budget_prefix(context_items(nodes, phase), ["stream_id"], ["sect", "k1", "k2", "k3"], "cost", max_tokens)
+
+
+def current_objective(nodes: DataFrame, objective: str) -> DataFrame:
+    """(stream_id, seq) of each stream's latest decision whose text holds the objective, in any case."""
+    fits = nodes.where("node = 'decision'").where(F.contains(F.lower("text"), F.lit(objective.lower())))
+    return fits.groupBy("stream_id").agg(F.max("seq").alias("seq"))
+
+
 def trailing_counts(events: DataFrame, key: str, at: str, span_ms: int) -> DataFrame:
     """events with in_span: how many records of the key lie in the span up to each record, itself and its ties included.
 

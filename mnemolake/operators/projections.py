@@ -83,30 +83,51 @@ def checkpoint(events: DataFrame) -> DataFrame:
 
 
 class Projection(ABC):
-    """A fold of one's own: name it and map records to its state table; `keys` are the columns that identify a row of it."""
+    """A fold of one's own: name it and map records to its state table; `keys` are the columns that identify a row of it.
+
+    To keep it up to date, each batch's partial state is kept, and the states of all batches are merged when it is read. Unless a
+    fold knows a smaller one, its partial state is the records of its `kinds`, and merging is folding.
+    """
 
     name: str
     keys: tuple[str, ...] = ()
+    kinds: tuple[str, ...] | None = None
 
     @abstractmethod
     def frame(self, events: DataFrame) -> DataFrame: ...
 
+    def partial(self, events: DataFrame) -> DataFrame:
+        """The state of one batch."""
+        return events if self.kinds is None else events.where(F.col("kind_tag").isin(*self.kinds))
+
+    def merge(self, partials: DataFrame) -> DataFrame:
+        """The projection from the states of all batches."""
+        return self.frame(partials)
+
 
 class Named(Projection):
-    def __init__(self, name: str, keys: tuple[str, ...], fold):
-        self.name, self.keys, self._fold = name, keys, fold
+    def __init__(self, name: str, keys: tuple[str, ...], kinds: tuple[str, ...], fold, last: tuple[str, ...] = ()):
+        self.name, self.keys, self.kinds, self._fold, self._last = name, keys, kinds, fold, last
 
     def frame(self, events: DataFrame) -> DataFrame:
         return self._fold(events)
 
+    def partial(self, events: DataFrame) -> DataFrame:
+        rows = super().partial(events)
+        if not self._last:
+            return rows
+        # only the last record of each key can matter
+        top = rows.groupBy(*self._last).agg(F.max_by(F.struct(*rows.columns), "seq").alias("_r"))
+        return top.select("_r.*")
+
 
 #: The folds that every store keeps.
 REGISTRY: dict[str, Projection] = {
     p.name: p
     for p in (
-        Named("current_facts", ("agent_id", "stream_id", "seq"), current_facts),
-        Named("task_state", ("agent_id", "stream_id"), task_state),
-        Named("tool_ledger", ("tool",), tool_ledger),
-        Named("consent_graph", ("grant_seq",), consent_grants),
+        Named("current_facts", ("agent_id", "stream_id", "seq"), ("Fact", "MemoryInvalidate"), current_facts),
+        Named("task_state", ("agent_id", "stream_id"), ("StateTransition",), task_state, ("agent_id", "stream_id")),
+        Named("tool_ledger", ("tool",), ("ToolCall",), tool_ledger),
+        Named("consent_graph", ("grant_seq",), ("ConsentGranted", "ConsentRevoked"), consent_grants),
     )
 }

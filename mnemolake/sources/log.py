@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import threading
 import uuid
 from collections.abc import Callable, Iterable
@@ -43,18 +44,64 @@ def check_event(kind: str, payload: object, correlation: str | None) -> str | No
 
 
 class EventLog:
-    """Appends are buffered on the driver, written in files of many records, and seen by every read at once."""
+    """Appends enter a journal before they return, are written in files of many records, and are seen by every read at once.
+
+    The journal is a file of lines beside the records, forced to disk at each append; what it holds and the records don't is
+    taken up when the log is opened again, so a lost driver loses nothing that was acknowledged.
+    """
 
     def __init__(self, spark: SparkSession, path: str, now_ms: Callable[[], int], buffer_rows: int = 5_000):
         self.spark, self.path, self.now_ms, self.buffer_rows = spark, path.rstrip("/"), now_ms, buffer_rows
         self._lock = threading.RLock()
         self._buffer: list[tuple] = []
         self._listeners: list[tuple[Callable[[dict], bool], Callable[[dict], None]]] = []
-        self._next = (self._stored().agg(F.max("seq")).first()[0] or 0) + 1
+        self._journal = None
+        last = self._stored().agg(F.max("seq")).first()[0] or 0
+        kept = self._journals()
+        self._buffer = sorted({row[0]: row for _, rows in kept for row in rows if row[0] > last}.values())
+        self._next = max([last, *(row[0] for row in self._buffer)]) + 1
+        if kept:
+            self.flush()
+            for path, _ in kept:
+                self._fs(path)[0].delete(self._fs(path)[1], False)
+
+    def _fs(self, path: str) -> tuple:
+        h = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return h.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), h
 
     def _exists(self) -> bool:
-        h = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/events")
-        return h.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(h)
+        fs, h = self._fs(f"{self.path}/events")
+        return fs.exists(h)
+
+    def _journals(self) -> list[tuple[str, list[tuple]]]:
+        """Journals left by stores that weren't closed, with their events; a last line that was cut short was never acknowledged."""
+        fs, h = self._fs(f"{self.path}/journal")
+        out = []
+        for s in fs.listStatus(h) if fs.exists(h) else []:
+            stream = fs.open(s.getPath())
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            out.append((s.getPath().toString(), [tuple(json.loads(line)) for line in text.split("\n")[:-1]]))
+        return out
+
+    def _note(self, row: tuple) -> None:
+        """Force an event to the journal."""
+        line = (json.dumps(row, ensure_ascii=False) + "\n").encode()
+        local = self.path.startswith("file://")
+        if self._journal is None:
+            name = f"{self.path}/journal/{uuid.uuid4().hex}"
+            if local:
+                os.makedirs(os.path.dirname(name[7:]), exist_ok=True)
+            self._journal = name, open(name[7:], "ab") if local else self._fs(name)[0].create(self._fs(name)[1], False)
+        out = self._journal[1]
+        out.write(line if local else bytearray(line))
+        if local:
+            out.flush()
+            os.fsync(out.fileno())
+        else:
+            out.hsync()
 
     def _stored(self) -> DataFrame:
         if not self._exists():
@@ -68,6 +115,7 @@ class EventLog:
             seq = self._next
             self._next += 1
             row = (seq, agent_id, stream_id, kind, self.now_ms(), causation, correlation, json.dumps(payload, separators=(",", ":"), ensure_ascii=False))
+            self._note(row)
             self._buffer.append(row)
             if len(self._buffer) >= self.buffer_rows:
                 self.flush()
@@ -115,6 +163,11 @@ class EventLog:
                 df = self.spark.createDataFrame(self._buffer, SCHEMA)
                 df.repartition("agent_id").sortWithinPartitions("seq").write.mode("append").partitionBy("agent_id").parquet(f"{self.path}/events")
                 self._buffer = []
+            if self._journal is not None:
+                name, out = self._journal
+                out.close()
+                self._fs(name)[0].delete(self._fs(name)[1], False)
+                self._journal = None
 
     def frame(self) -> DataFrame:
         """All records; the buffer's are unioned in, so what was appended is read."""

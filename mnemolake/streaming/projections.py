@@ -59,6 +59,20 @@ def maintain(events: DataFrame, ledger: VersionedTable, checkpoint: str, name: s
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def keep(events: DataFrame, projection: Projection, target: VersionedTable, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the partial state of each batch of any projection; projection.merge(target.read()) is its state table.
+
+    A batch's rows and its number enter the table in one manifest, so a batch that is run again after a failure adds nothing.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if target.manifest()["processed"].get(projection.name, -1) < number:
+            target.commit(projection.partial(batch), processed={projection.name: number})
+
+    w = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
 LEDGER_SCHEMA = "tool string, invocations bigint, errors bigint, total_latency_ms bigint, total_cost double, last_outcome string, last_seq bigint, batch bigint"
 
 
