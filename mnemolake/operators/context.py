@@ -19,6 +19,8 @@ LOOP_TEXT = "Error loop: tool {tool} failed {n} times"
 DRIFT_TEXT = "Objective drift: {n} decisions diverged from intent 'unknown intent'"
 PHASE_TEXT = "Phase {name} completed with {n} decisions"
 EPISODE_TEXT = "Episode {id}"
+# Words of a state that speak of success, and of failure.
+GOOD, BAD = ("success", "done", "ok"), ("error", "fail")
 
 
 def token_cost(text: str | Column, overhead: int) -> Column:
@@ -255,7 +257,18 @@ def build_timeline(thread: Thread, objective: str, max_tokens: int, share: float
     return AgentContext(kept)
 
 
+def quality_column(state: str) -> Column:
+    """output_quality as an expression over a column."""
+    t = F.lower(F.coalesce(state, F.lit("")))
+    good, bad = F.lit(False), F.lit(False)
+    for w in GOOD:
+        good = good | t.contains(w)
+    for w in BAD:
+        bad = bad | t.contains(w)
+    return F.when(good, 1.0).when(bad, 0.0).otherwise(0.5)
+
+
 def output_quality(state: str | None) -> float:
     """1 if a state's text speaks of success, 0 if of failure, else 0.5."""
     t = (state or "").lower()
-    return 1.0 if any(w in t for w in ("success", "done", "ok")) else 0.0 if any(w in t for w in ("error", "fail")) else 0.5
+    return 1.0 if any(w in t for w in GOOD) else 0.0 if any(w in t for w in BAD) else 0.5
