@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from mnemolake.operators import retrieval
 from mnemolake.operators.predicates import filters_in, has_filters
+from mnemolake.session import materialize
 from mnemolake.sources.versioned import VersionedTable
 
 
@@ -37,6 +38,7 @@ class SemanticIndex:
             raise IndexError_("INVALID_VECTOR", "a vector space needs an id")
         self.spark = spark
         self.table = VersionedTable(spark, f"{path}/index", self.SCHEMA)
+        self.words = VersionedTable(spark, f"{path}/postings", "id string, field string, term string, tf bigint, len int, pos array<int>")
         space = VersionedTable(spark, f"{path}/space", "dimension int, space_id string, metric string")
         have = space.read().first()
         if have and dimension is not None and (have["dimension"], have["space_id"]) != (dimension, space_id):
@@ -101,6 +103,25 @@ class SemanticIndex:
         """Write the live rows as new files; the old ones leave the manifest, as do their deletion vectors."""
         self.table.compact()
 
+    def postings(self) -> DataFrame:
+        """The kept postings, brought up to the index's version: only documents that changed since are read and cut into words.
+
+        New postings, the deletion of old ones and the version that they stand for enter the table in one manifest.
+        """
+        from mnemolake.functions.analyzer import stemmed_terms, stop_words
+
+        base, now = self.words.manifest(), self.table.version()
+        since = base["processed"].get("index", 0)
+        if since < now:
+            changed = materialize(self.table.diff(since, now), "index-changes")
+            fresh = retrieval.positional_postings(changed.where("change = '+'"), terms=stemmed_terms(stop_words())).orderBy("term")
+            gone = None
+            if base["data"]:
+                old = self.words.positions(base["version"]).join(changed.select("id").distinct(), "id", "left_semi")
+                gone = old.select(F.col("_file").alias("file"), F.col("_row").alias("row_index"))
+            self.words.commit(fresh, gone, processed={"index": now}, base=base["version"])
+        return self.words.read()
+
     def stats(self) -> dict[str, int]:
         r = self.frame().agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("vector").isNotNull()).alias("vectors")).first()
         return r.asDict() | {"dimension": self.dimension or 0}
@@ -121,7 +142,8 @@ class SemanticIndex:
 
         stops = stop_words()
         read = (lambda w: [w.lower()]) if terms else (lambda w: analyze(w, stops))
-        hits = retrieval.hybrid(self.frame(), q, self.dimension or 0, boosts, terms or stemmed_terms(stops), fusion.get("k", retrieval.RRF_K), read, allow)
+        kept = self.postings() if terms is None and (text or "").strip() else None
+        hits = retrieval.hybrid(self.frame(), q, self.dimension or 0, boosts, terms or stemmed_terms(stops), fusion.get("k", retrieval.RRF_K), read, allow, kept)
         return [{c: r[c] for c in ("id", "score", "text_score", "vector_score")} for r in hits.orderBy("rank").collect()]  # k rows
 
 
