@@ -8,6 +8,7 @@ and so on until the queue is empty.
 The similarity of two runs is 0 with different tools or when only one of them is an error, 1 if all events of both are equal,
 and else the share that the words common to all their events have in the words of any. It can only fall as runs grow, so no
 run drifts: every event of a run shares that much with every other. The gap is the time between the two events that touch.
+The limits decide which boundaries are merged, not how: with a least similarity of 1 equal events come through the same queue.
 
 As no merge makes another boundary better, a boundary that is better than both beside it is merged whatever happens
 elsewhere, and one that once misses a limit stays. So an entity may be cut anywhere: the log is range-partitioned by
@@ -30,7 +31,8 @@ from mnemolake.functions.jsonx import outcome_message, outcome_tag, raw
 from mnemolake.session import materialize, tasks
 
 #: Columns of a run: start and end are the clocks of its first and last event, low and high the extremes; tool and outcome are
-#: the last event's; common and every hold words of its outcomes; nothing can join behind a sealed run.
+#: the last event's; common and every hold words of its outcomes, and aren't read while the run is uniform, as they are the
+#: outcome's then; nothing can join behind a sealed run.
 _RUN = (
     "agent_id string, stream_id string, first_seq bigint, last_seq bigint, n bigint, start_ts bigint, end_ts bigint, low_ts bigint, high_ts bigint, "
     "tool string, outcome string, uniform boolean, common string, every string, sealed boolean"
@@ -74,6 +76,21 @@ def similarity(a: tuple, b: tuple) -> float:
     return min(1 - 1e-9, len(a[2] & b[2]) / max(1, len(a[3] | b[3])))
 
 
+def _states(runs: pd.DataFrame) -> list[tuple]:
+    """What similarity takes of each run; runs of one outcome share its set of words."""
+    words: dict[str, frozenset] = {}
+    out = []
+    for o, uniform, common, every in zip(*(runs[c].tolist() for c in ("outcome", "uniform", "common", "every"))):
+        if uniform:
+            w = words.get(o)
+            if w is None:
+                w = words[o] = frozenset(o.split())
+            out.append((o, True, w, w))
+        else:
+            out.append((o, False, frozenset(common.split()), frozenset(every.split())))
+    return out
+
+
 def _tie(first_seq: np.ndarray) -> np.ndarray:
     """A number of the boundary before an event, the same wherever the events are cut."""
     with np.errstate(over="ignore"):
@@ -110,54 +127,52 @@ def agglomerate(runs: pd.DataFrame, least: float, gap_ms: int | None, open_left:
     """
     if not len(runs):
         return runs, np.zeros(0, bool)
-    # equal neighbours are merged first in any order, and change the value of no other boundary
-    outcome, uniform = runs["outcome"].to_numpy(object), runs["uniform"].to_numpy(bool)
-    equal = _touching(runs, gap_ms) & uniform[:-1] & uniform[1:] & (outcome[:-1] == outcome[1:])
-    runs = _merge(runs, np.flatnonzero(np.concatenate([[True], ~equal])))
     n = len(runs)
-    may = _touching(runs, gap_ms)
-    value = np.zeros(n + 1)  # of the boundary behind each row; the last one is the one before the first row
-    if least < 1 and may.any():
-        words = [frozenset(w.split()) for w in runs["common"]], [frozenset(w.split()) for w in runs["every"]]
-        state = list(zip(runs["outcome"], runs["uniform"], *words))
-        for i in np.flatnonzero(may).tolist():
-            value[i] = similarity(state[i], state[i + 1])
-        tie = _tie(runs["first_seq"].to_numpy()[1:]).tolist()
-        queue = [(-value[i], tie[i], i) for i in np.flatnonzero(may & (value[: n - 1] >= least)).tolist()]
-        heapq.heapify(queue)
-        begins, ends = list(range(n)), list(range(n))  # the linked list: a run's first row by its last, its last row by its first
-        waits = np.zeros(n + 1, bool)
-        waits[n], waits[n - 1] = open_left, open_right
-        joined = np.zeros(n, bool)
-        while queue:
-            s, _, i = heapq.heappop(queue)
-            if joined[i] or waits[i] or -s != value[i]:
-                continue
-            a, e = begins[i], ends[i + 1]
-            before, after = (a - 1 if a else n), e
-            if waits[before] or waits[after]:  # a better boundary beside it isn't decided, so neither is this one
-                waits[i] = True
-                continue
-            joined[i] = True
-            ends[a], begins[e] = e, a
-            x, y = state[a], state[i + 1]
-            state[a] = (y[0], x[1] and y[1] and x[0] == y[0], x[2] & y[2], x[3] | y[3])
-            for b, left, right in ((before, begins[a - 1] if a else None, a), (after, a, e + 1)):
-                if b < n - 1 and value[b] >= least and may[b]:
-                    value[b] = similarity(state[left], state[right])
-                    if value[b] >= least:
-                        heapq.heappush(queue, (-value[b], tie[b], b))
-        first = np.flatnonzero(np.concatenate([[True], ~joined[: n - 1]]))
-        if len(first) < n:
-            runs = _merge(runs, first)
-            runs["uniform"] = [state[i][1] for i in first]
-            runs["common"] = [" ".join(sorted(state[i][2])) for i in first]
-            runs["every"] = [" ".join(sorted(state[i][3])) for i in first]
-        stay = ~(may & (value[: n - 1] >= least))
-        last = np.append(first[1:], n) - 1
-        final = np.append(stay, not open_right)[last]
-    else:
-        final = np.append(np.ones(n - 1, bool), not open_right)
+    touching = _touching(runs, gap_ms)
+    may = touching.tolist()
+    state = _states(runs)
+    value = [0.0] * (n + 1)  # of the boundary behind each row; the last one is the one before the first row
+    for i in np.flatnonzero(touching).tolist():
+        value[i] = similarity(state[i], state[i + 1])
+    tie = _tie(runs["first_seq"].to_numpy()[1:]).tolist()
+    queue = [(-value[i], tie[i], i) for i in range(n - 1) if may[i] and value[i] >= least]
+    heapq.heapify(queue)
+    begins, ends = list(range(n)), list(range(n))  # the linked list: a run's first row by its last, its last row by its first
+    waits = [False] * (n + 1)
+    waits[n], waits[n - 1] = open_left, open_right
+    joined = [False] * n
+    while queue:
+        s, _, i = heapq.heappop(queue)
+        if joined[i] or waits[i] or -s != value[i]:
+            continue
+        a, e = begins[i], ends[i + 1]
+        before, after = (a - 1 if a else n), e
+        # a better boundary beside it isn't decided, so neither is this one; but none is better than one between equal runs,
+        # and merging these changes the value of no other
+        if s > -1 and (waits[before] or waits[after]):
+            waits[i] = True
+            continue
+        joined[i] = True
+        ends[a], begins[e] = e, a
+        x, y = state[a], state[i + 1]
+        state[a] = (y[0], x[1] and y[1] and x[0] == y[0], x[2] & y[2], x[3] | y[3])
+        for b, left, right in ((before, begins[a - 1] if a else None, a), (after, a, e + 1)):
+            if b < n - 1 and value[b] >= least and may[b]:
+                v = similarity(state[left], state[right])
+                if v != value[b]:
+                    value[b] = v
+                    if v >= least:
+                        heapq.heappush(queue, (-v, tie[b], b))
+    first = np.flatnonzero(np.concatenate([[True], ~np.array(joined[: n - 1], bool)]))
+    if len(first) < n:
+        runs = _merge(runs, first)
+        kept = [state[i] for i in first.tolist()]
+        runs["uniform"] = [x[1] for x in kept]
+        for k, c in ((2, "common"), (3, "every")):
+            runs[c] = ["" if x[1] else " ".join(sorted(x[k])) for x in kept]
+    stay = ~(touching & (np.array(value[: n - 1]) >= least))
+    last = np.append(first[1:], n) - 1
+    final = np.append(stay, not open_right)[last]
     return runs, final
 
 
@@ -209,7 +224,6 @@ def collapse_runs(events: DataFrame, least: float = 1.0, gap_ms: int | None = No
     spark = events.sparkSession
     ts = F.coalesce("ts_ms", F.lit(0))
     text = F.coalesce("outcome", F.lit("Ok"))
-    words = F.array_join(F.array_sort(F.array_distinct(F.split(text, r"\s+"))), " ") if least < 1 else F.lit("")
     runs = events.select(
         "agent_id",
         "stream_id",
@@ -220,8 +234,8 @@ def collapse_runs(events: DataFrame, least: float = 1.0, gap_ms: int | None = No
         F.coalesce("tool", F.concat(F.lit("\u0001"), F.col("seq").cast("string"))).alias("tool"),
         text.alias("outcome"),
         F.lit(True).alias("uniform"),
-        words.alias("common"),
-        words.alias("every"),
+        F.lit("").alias("common"),
+        F.lit("").alias("every"),
         F.lit(False).alias("sealed"),
     )
     runs = materialize(runs, "calls")

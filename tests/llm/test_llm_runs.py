@@ -71,6 +71,36 @@ def test_near_runs_by_brute_force_and_any_cut(seed, monkeypatch):
         assert list(zip(got["first_seq"], got["last_seq"], got["n"])) == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_identical_runs_come_through_the_queue(seed, monkeypatch):
+    """The limit of p4_found spares no work: boundaries are valued as under any limit, merges come from the queue, at any cut."""
+    r = random.Random(seed)
+    rows = [("a", r.choice("st"), q, q * 10, "t" if r.random() < 0.9 else "u", r.choice(["Ok", "Ok", "Err: a b c d", "Err: a b c e"])) for q in range(200)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))
+    valued, popped = [], []
+    value, pop = runs_module.similarity, runs_module.heapq.heappop
+    monkeypatch.setattr(runs_module, "similarity", lambda a, b: valued.append((a, b)) or value(a, b))
+    monkeypatch.setattr(runs_module.heapq, "heappop", lambda q: popped.append(q[0]) or pop(q))
+    touching = sum(a[:2] + a[4:5] == b[:2] + b[4:5] for a, b in zip(rows, rows[1:]))
+    merged, final = agglomerate(plain(rows), 1.0, None)
+    want = one_by_one(rows, 1.0, None)
+    assert list(zip(merged["first_seq"], merged["last_seq"], merged["n"])) == want and final.all()
+    assert len(popped) == len(rows) - len(want) and popped == sorted(popped)
+    assert len(valued) > touching  # anew beside merged runs
+    first = valued[:touching]
+    valued.clear()
+    agglomerate(plain(rows), 0.6, None)
+    assert valued[:touching] == first
+    monkeypatch.setattr(runs_module, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    for size, chunk in ((200, 3), (50, 7), (5, 50), (1, 1)):
+        monkeypatch.setattr(runs_module, "CHUNK", chunk)
+        df = plain(rows)
+        parts = pd.concat([p for i in range(0, len(df), size) for p in _stretch(1.0, None, False)(iter([df.iloc[i : i + size]])) if len(p)])
+        edges = parts[parts["part"].notna()][_NAMES].sort_values(["agent_id", "stream_id", "first_seq"], ignore_index=True)
+        got = pd.concat([parts[parts["part"].isna()][_NAMES], *_stretch(1.0, None, True)(iter([edges]))]).sort_values(["agent_id", "stream_id", "first_seq"])
+        assert list(zip(got["first_seq"], got["last_seq"], got["n"])) == want
+
+
 def brute(rows, gap=None):
     out, by = [], {}
     for r in rows:
